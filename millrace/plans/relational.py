@@ -12,8 +12,10 @@ from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
 
-#: Microseconds since 1970, whatever the session's time zone.
-MICROS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+def micros():
+    """Microseconds since 1970, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
 def service_counts(spark, sf):
@@ -48,7 +50,7 @@ QUERIES["repo_counts"] = (
 
 
 def enclosing_interval(spark, sf):
-    e = table(spark, sf, "events").withColumn("at", MICROS)
+    e = table(spark, sf, "events").withColumn("at", micros())
     spans = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("owner"), F.col("at").alias("lo"), (F.col("at") + F.floor(F.col("value") * 3_600_000_000).cast("long")).alias("hi"))
     clicks = e.where("event_type = 'click'").select("user_id", "event_id", "at")
     found = graph.innermost(clicks, spans, ["user_id"], "at", "lo", "hi", ["event_id"], [F.asc("lo"), F.asc("owner")], bucket=24 * 3_600_000_000)
@@ -64,7 +66,7 @@ QUERIES["enclosing_interval"] = (
 
 
 def first_enclosing(spark, sf):
-    e = table(spark, sf, "events").withColumn("at", MICROS)
+    e = table(spark, sf, "events").withColumn("at", micros())
     spans = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("owner"), F.col("at").alias("lo"), (F.col("at") + 86_400_000_000).alias("hi"))
     views = e.where("event_type = 'view'").select("user_id", "event_id", "at")
     return graph.first_enclosing(views, spans, ["user_id"], "at", "lo", "hi", ["event_id"], [F.asc("owner")]).select("event_id", "owner")
@@ -388,7 +390,7 @@ QUERIES["circuit_breaker"] = (
 
 
 def due_jobs(spark, sf):
-    last = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.floor(MICROS / 1_000_000)).alias("last_run"), F.max("value").alias("interval_s"))
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.floor(micros() / 1_000_000)).alias("last_run"), F.max("value").alias("interval_s"))
     return delta.due(last.withColumn("interval_s", F.floor(F.col("interval_s") * 60)), F.lit(1706590000)).select("user_id", "last_run")
 
 

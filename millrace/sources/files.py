@@ -54,11 +54,10 @@ def expand_globs(globs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def valid_paths(drafts: DataFrame, files: DataFrame) -> DataFrame:
-    """``drafts(service, path)`` that name a known file after ``./`` and doubled slashes are dropped and that stay
-    inside the tree."""
+    """``drafts(service, path)`` that name a known file inside the tree, once ``./`` and doubled slashes are dropped."""
     path = F.regexp_replace(F.regexp_replace(F.trim("path"), r"^(?:\./)+", ""), "/+", "/")
     out = drafts.withColumn("path", path).where(~F.col("path").startswith("/") & ~F.array_contains(F.split("path", "/"), ".."))
-    return out.join(files.select("path"), "path", "left_semi").distinct()
+    return out.join(files.select("path"), "path", "left_semi").select(*drafts.columns).distinct()
 
 
 def newest(df: DataFrame, keep: int, by: list[str], stamp: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyed tables as Parquet snapshots.
 
 A write makes a new snapshot folder and then moves a small pointer file to it, so readers see the old or the new
-table whole, and a failed write leaves the old one. Everything goes through Hadoop's file system layer.
+table whole, and a failed write leaves the old one. One earlier snapshot is kept for readers still at work. Everything goes through Hadoop's file system layer.
 """
 
 from __future__ import annotations
@@ -81,9 +81,17 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(temp, current, options)
-        if old:
-            fs, p = self._fs(f"{self.root}/{table}/{old}")
-            fs.delete(p, True)
+        fs, p = self._fs(f"{self.root}/{table}")
+        for s in fs.listStatus(p):  # readers of the last snapshot may still be at work; older ones go
+            found = s.getPath().getName()
+            if found.startswith("snapshot-") and found not in (name, old):
+                fs.delete(s.getPath(), True)
+
+    def scratch(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written beside the tables and read again, in place of the ones of an earlier call."""
+        path = f"{self.root}/_scratch/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def upsert(self, table: str, rows: DataFrame, create_only: tuple[str, ...] = ()) -> None:
         old = self.read(table)

@@ -15,12 +15,15 @@ from ..sources import parsers, providers
 from ..sources.store import Store
 
 
-def tables_of(files: DataFrame, known_symbols: DataFrame | None = None, known_files: DataFrame | None = None) -> dict[str, DataFrame]:
+def tables_of(files: DataFrame, known_symbols: DataFrame | None = None, known_files: DataFrame | None = None, store: Store | None = None) -> dict[str, DataFrame]:
     """Every derived table of ``files(repo, path, lang, content, hash, lines)``.
 
-    ``known_*`` are rows of files that did not change, so that calls and imports into them resolve as well.
+    ``known_*`` are rows of files that did not change, so that calls and imports into them resolve as well. With a
+    store the parsed rows are written there once instead of being parsed for each table.
     """
-    parsed = parsers.parse(files).cache()
+    parsed = parsers.parse(files)
+    if store is not None:
+        parsed = store.scratch("parsed", parsed)
     symbols = parsers.symbols(parsed)
     own = symbols.select("repo", F.col("file_path").alias("file"), "name", "fqname", F.concat_ws(" ", "file_path", F.lpad(F.col("ord").cast("string"), 6, "0")).alias("ord"), "line_start", "line_end")
     walk = own.select("repo", "file", "name", "fqname", "ord")
@@ -56,15 +59,15 @@ def tables_of(files: DataFrame, known_symbols: DataFrame | None = None, known_fi
 
 def apply_changes(store: Store, repo: str, files: DataFrame, removed: DataFrame) -> dict[str, int]:
     """Write changed files and drop removed ones: rows of touched files go, new rows come; summaries of symbols that
-    stay are carried over."""
+    stay are carried over. All tables are computed before the first is replaced, since they read one another."""
     touched = files.select("path").unionByName(removed.select("path")).distinct()
     known_symbols = store.read("symbol").where(F.col("repo") == repo).join(touched.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
     known_files = store.read("file").where(F.col("repo") == repo).join(touched, "path", "left_anti")
-    new = tables_of(files, known_symbols, known_files)
+    new = tables_of(files, known_symbols, known_files, store)
     before = store.read("symbol").select("repo", "fqname", F.col("summary").alias("_s"), F.col("summary_at").alias("_at"))
     new["symbol"] = new["symbol"].join(before, ["repo", "fqname"], "left").withColumnsRenamed({"_s": "summary", "_at": "summary_at"})
     parent = {"file": "path", "symbol": "file_path", "chunk": "file_path", "import_edge": "from_path", "merkle_files": "path"}
-    counts = {}
+    counts, ready = {}, {}
     for table in ("file", "symbol", "chunk", "import_edge", "call_edge", "merkle_files"):
         old = store.read(table)
         if table == "call_edge":
@@ -79,26 +82,40 @@ def apply_changes(store: Store, repo: str, files: DataFrame, removed: DataFrame)
         for c in old.columns:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast(old.schema[c].dataType))
-        store.write(table, keep.select(*old.columns).unionByName(rows.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) for c in old.columns))))
-        counts[table] = store.read(table).where(F.col("repo") == repo).count()
+        rows = rows.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) for c in old.columns))
+        ready[table] = store.scratch(table, keep.select(*old.columns).unionByName(rows))
+    for table, rows in ready.items():
+        store.write(table, rows)
+        counts[table] = rows.where(F.col("repo") == repo).count()
     return counts
 
 
 def ingest(store: Store, repo: str, root: str, force: bool = False) -> dict:
     """Bring a tree's tables up to date. Nothing is done when its digest is unchanged; else only files whose hash
     changed are parsed again."""
+    found = files_source.walk(store.spark, root, repo).cache()
+    try:
+        return _ingest(store, repo, found, force)
+    finally:  # else a later walk of the same tree would see these files
+        found.unpersist()
+
+
+def _ingest(store: Store, repo: str, found: DataFrame, force: bool) -> dict:
     spark = store.spark
-    found = files_source.walk(spark, root, repo).cache()
     sha = files_source.digest(found).first()
     sha = sha["sha"] if sha else ""
     known = store.read("merkle_repo").where(F.col("repo") == repo).first()
     if known and known["pack_sha"] == sha and not force:
         return {"changed": False}
     prev = store.read("merkle_files").where(F.col("repo") == repo).select("path", "hash")
-    diff = delta.snapshot_diff(prev, found.select("path", "hash")).cache()
-    changed = found if force else found.join(delta.to_index(diff), "path", "left_semi").select(*found.columns)
+    diff = delta.snapshot_diff(prev, found.select("path", "hash"))
+    # Written out: the snapshot that the difference was taken from is replaced on the way, and every table below reads
+    # these rows.
+    touched = found if force else found.join(delta.to_index(diff), "path", "left_semi").select(*found.columns)
+    changed = store.scratch("changed", touched)
     n = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = apply_changes(store, repo, changed, diff.where("change = 'deleted'").select("path"))
+    gone = [r["path"] for r in diff.where("change = 'deleted'").select("path").collect()]
+    counts = apply_changes(store, repo, changed, spark.createDataFrame([(p,) for p in gone], "path string"))
     row = spark.createDataFrame([(repo, sha)], "repo string, pack_sha string").withColumn("last_packed", F.current_timestamp())
     store.upsert("merkle_repo", row)
     return {"changed": True, "changes": n, "rows": counts}
