@@ -61,19 +61,24 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", words: bool = False) -> DataFrame:
     """``(doc_id, fp)`` for each document; ``fp`` is the fingerprint's 64 bits as a signed long.
 
     Words are runs of non-blank characters after lower-casing A-Z; shingles of ``shingle`` words count as often as
-    they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero.
+    they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero. With
+    ``words`` the fingerprint of its single words comes along as ``fp_words``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(batch[text].tolist(), shingle).view(np.int64)})
+            texts = batch[text].tolist()
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(texts, shingle).view(np.int64)})
+            if words:
+                out["fp_words"] = _fingerprints(texts, 1).view(np.int64)
+            yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, fp long" + ", fp_words long" * words)
 
 
 def _coordinates(fp: np.ndarray) -> np.ndarray:
@@ -213,23 +218,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text:
     their own rows; a null id takes part with its text, is named by others but names none (a component of null ids
     alone has a null name). An empty table gives an empty table; other columns of ``docs`` are ignored.
     """
-    prints = materialize(fingerprints(docs, shingle, text), "prints")
+    return _placed(materialize(fingerprints(docs, shingle, text), "prints"), max_bits)
+
+
+def _placed(prints: DataFrame, max_bits: int) -> DataFrame:
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     edges = links(classes, max_bits)
     groups = connected_components(edges).withColumnsRenamed({"id": "fp", "component": "root"})
     placed = classes.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = materialize(placed.join(names, "root").select("fp", "component_id"), "of_class")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
-
+    return prints.join(of_class, "fp").select(*prints.columns, "component_id")
+
+
+#: Texts of a candidate group that are compared by their shingles at a time.
+TEXT_TILE = 256
+
+
+def _tile_overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each two of the sets share; hashes of one set alone are left out, the others come in blocks."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(place, minlength=len(values)) > 1
+    column = np.cumsum(often) - 1
+    keep = often[place]
+    owner, place = owner[keep], column[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for lo in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(place, [lo, lo + width])
+        block = np.zeros((len(sets), width), dtype=np.float32)
+        block[owner[i:j], place[i:j] - lo] = 1
+        shared += block @ block.T
+    return shared
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """Edges ``(a, b)`` of a spanning forest of the pairs within a group whose sets of shingles have at least that
+    Jaccard similarity.
+
+    ``groups(doc_id, root)`` names the candidates. A group of up to ``TEXT_TILE`` texts is one unit of work, a larger
+    one a unit for each pair of its tiles; no pair is left out. Shingles are compared by 64-bit hashes.
+    """
 
-def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text") -> DataFrame:
-    """The documents of which one stays for each group: the one whose id names the component.
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, join = xxhash.xxh64_intdigest, b" ".join
+        for batch in batches:
+            out = []
+            for body in batch[text]:
+                words = body.encode("utf-8", "surrogatepass").lower().split() if body else []
+                width = min(shingle, len(words)) or 1
+                found = {digest(x, 7) for x in map(join, zip(*(words[j:] for j in range(width))))}
+                out.append(np.sort(np.array(list(found), dtype=np.uint64)).view(np.int64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "root": batch["root"], "tiles": batch["tiles"], "hashes": pd.Series(out, dtype=object)})
+
+    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TEXT_TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = materialize(groups.join(sizes.drop("n"), "root"), "candidates")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bodies = docs.select("doc_id", text).join(placed, "doc_id").mapInPandas(hashed, f"doc_id {kind}, root long, tiles int, hashes array<long>")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    member = bodies.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    member = member.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "hashes")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(x) for x in tile["hashes"]]
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        shared = _tile_overlaps(sets).astype(np.float64)
+        union = size[:, None] + size[None, :] - shared
+        close = np.triu((shared >= similarity * union) & (union > 0), 1)
+        if tile["p"].iloc[0] != tile["q"].iloc[0]:
+            own = tile["own"].to_numpy()
+            close &= own[:, None] != own[None, :]
+        ids = tile["doc_id"].tolist()
+        pairs = [(ids[u], ids[v]) for u, v in _forest(len(ids), *np.nonzero(close))]
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return member.groupBy("root", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
+def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` where documents link by near fingerprints or by verified similarity.
+
+    Links are those of :func:`near_duplicates` and, beyond them, pairs whose sets of ``shingle``-word shingles have a
+    Jaccard similarity of ``similarity`` or more. Fingerprints of long shingles differ in too many bits for that: one
+    changed word changes ``shingle`` of them. So candidates come from fingerprints of single words within
+    ``max_bits``, and every candidate pair is verified by its shingles. Null ids take no part in the second kind.
+    """
+    prints = materialize(fingerprints(docs, exact_shingle, text, words=True), "prints")
+    first = materialize(_placed(prints, exact_bits), "first_links")
+    # Copies are one vertex: the smallest id of each fingerprint of the first kind stands for its rows.
+    heads = first.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id"), F.min("fp_words").alias("fp_words"))
+    heads = materialize(heads, "heads")
+    roots = connected_components(links(heads.select(F.col("fp_words").alias("fp")).distinct(), max_bits, blocks=6))
+    groups = heads.join(roots.withColumnRenamed("id", "fp_words"), "fp_words", "left").select("doc_id", F.coalesce("component", "fp_words").alias("root"))
+    edges = similar_links(docs, groups, shingle, similarity, text)
+    both = edges.unionByName(heads.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("b is not null and a <> b"))
+    merged = connected_components(both.select(F.col("a").cast("long"), F.col("b").cast("long")))
+    head = heads.select("fp", F.col("doc_id").alias("head"))
+    out = first.join(head, "fp", "left").join(merged.withColumnRenamed("id", "head"), "head", "left")
+    return out.select("doc_id", F.coalesce("component", "head").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The documents of which one stays for each group of :func:`near_duplicates_by_similarity`: the one whose id
+    names the component.
 
     All columns of ``docs`` stay. Rows that repeat the id of a document that stays are that document again, and one of
     them is kept. Of documents with a null id, one stays for each text.
     """
-    placed = materialize(near_duplicates(docs, shingle, max_bits, text), "placed")
+    placed = materialize(near_duplicates_by_similarity(docs, text=text, **how), "placed")
     kept = placed.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     n = placed.agg(
         F.count_if(F.col("doc_id") == F.col("component_id")).alias("kept"),
