@@ -10,6 +10,7 @@ them to the slots of the plan; no task holds all pieces of a length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,15 @@ CACHE, LONGEST = 400_000, 64
 RANK_ROWS = 20_000
 
 
+#: Python's split also breaks at four control characters that are no white space to the tokenizer.
+_CONTROLS = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_words(text: str) -> list[str]:
+    return [x for x in _BLANKS.split(text) if x] if _CONTROLS.search(text) else text.split()
+
+
 class WordIds(dict):
     """Token ids (little-endian 32-bit bytes) of words between white space.
 
@@ -61,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -
         for batch in batches:
             rows = []
             for doc_id, body in zip(batch["doc_id"], batch[text]):
-                ids = b"".join(map(words.__getitem__, body.split())) + end if body else end
+                ids = b"".join(map(words.__getitem__, split_words(body))) + end if body else end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
