@@ -72,13 +72,13 @@ def shard(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
     counts = {r["_slot"]: r["n"] for r in keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = flow(counts, ring(spark, shards), row_capacities(sum(counts.values()), shards))
     kind = "array<struct<s:int,lo:bigint,hi:bigint,shard:int,at:bigint>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(runs)), kind)))
-    table = table.groupBy("s").agg(F.collect_list(F.struct("lo", "hi", "shard", "at")).alias("_runs"))
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(runs)), kind))).withColumnRenamed("s", "_of")
+    table = table.groupBy("_of").agg(F.collect_list(F.struct("lo", "hi", "shard", "at")).alias("_runs"))
     w = Window.partitionBy("_slot").orderBy("_h", "doc_id", "text_crc32", "size")
     ranked = keyed.withColumn("_rank", F.row_number().over(w) - 1)
     # At most SLOTS rows of a few runs each.
-    placed = ranked.join(F.broadcast(table), F.col("_slot") == F.col("s"))
+    placed = ranked.join(F.broadcast(table), F.col("_slot") == F.col("_of"))
     run = F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"]))[0]
     placed = placed.withColumn("_run", run)
     placed = placed.withColumn("shard", F.col("_run.shard")).withColumn("slot", F.col("_run.at") + F.col("_rank") - F.col("_run.lo"))
-    return placed.drop("_h", "_slot", "_rank", "_runs", "_run", "s")
+    return placed.drop("_h", "_slot", "_rank", "_runs", "_run", "_of")
