@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +94,17 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.nda
 
     ``y`` are indices into ``grades``. With fewer than two grades every text has that grade for certain.
     """
-    n, k = len(rows), len(grades) - 1
+    if not rows:
+        return _fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros((0, SHAPES)), y, grades, steps, ridge, rate)
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    at, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    return _fit(owner, at, value, np.stack([r[2] for r in rows]), y, grades, steps, ridge, rate)
+
+
+def _fit(owner: np.ndarray, at: np.ndarray, value: np.ndarray, dense: np.ndarray, y: np.ndarray, grades: list[int], steps: int = 400, ridge: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
+    n, k = len(dense), len(grades) - 1
     if k < 1 or not n:
         return OrdinalModel(np.zeros(BUCKETS + SHAPES), np.zeros(max(k, 0)), grades or [0])
-    owner = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    at, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    dense = np.stack([r[2] for r in rows])
     share = np.array([(y > j).mean() for j in range(k)]).clip(0.01, 0.99)
     theta0 = np.log((1 - share) / share)
     # First threshold, then logarithms of the steps between thresholds.
@@ -142,10 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_fit_rows
 
     sample = sample.withColumn("doc_id", F.col("doc_id").cast("string"))
     table = sample.mapInPandas(run, "doc_id string, grade int, at array<int>, value array<float>, dense array<double>")
-    table = table.toPandas().sort_values(["doc_id", "grade"], kind="stable")
-    grades = sorted(set(table["grade"].tolist()))
-    rows = [(np.asarray(a, np.int64), np.asarray(v, float), np.asarray(d, float)) for a, v, d in zip(table["at"], table["value"], table["dense"])]
-    return fit_ordinal(rows, np.searchsorted(grades, table["grade"].to_numpy()) if grades else np.zeros(0, int), grades, **how)
+    # As Arrow columns: the sample's features stay flat, with no object for each row.
+    found = table.toArrow().combine_chunks()
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("grade", "ascending")]))
+    grades = sorted(set(found["grade"].to_pylist()))
+    flat = lambda name: pc.list_flatten(found[name]).to_numpy()
+    owner = np.repeat(np.arange(found.num_rows), pc.list_value_length(found["at"]).to_numpy())
+    y = np.searchsorted(grades, found["grade"].to_numpy()) if grades else np.zeros(0, int)
+    return _fit(owner, flat("at"), flat("value"), flat("dense").reshape(-1, SHAPES), y, grades, **how)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
