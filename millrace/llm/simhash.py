@@ -28,6 +28,8 @@ from .components import connected_components
 BLOCKS = 4
 #: Rows of a cell that are compared at a time; a larger cell is dealt out as pairs of such tiles.
 TILE = 2048
+#: Cells of up to so many rows are compared together, by shifting the rows against one another.
+SMALL = 64
 #: Seeds of general references that discard candidates by the largest coordinate difference.
 PIVOTS = np.random.default_rng(20240601).integers(0, 2**64, 16, dtype=np.uint64)
 
@@ -43,8 +45,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    """Fingerprints of many texts; the hashes of a batch are unpacked in slices of bounded size."""
+def _fingerprints(texts: list[str | None], shingle: int, distinct: bool = False) -> np.ndarray:
+    """Fingerprints of many texts; hashes are unpacked in slices of bounded size. ``distinct``: each shingle counts once."""
     out = np.zeros(len(texts), dtype=np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for i, text in enumerate(texts):
@@ -52,7 +54,8 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
         if not words:
             continue
         width = min(shingle, len(words))
-        hashes = np.array([digest(x, 42) for x in map(join, zip(*(words[j:] for j in range(width))))], dtype="<u8")
+        shingles = map(join, zip(*(words[j:] for j in range(width))))
+        hashes = np.array([digest(x, 42) for x in (set(shingles) if distinct else shingles)], dtype="<u8")
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 16):
             part = hashes[at : at + (1 << 16)]
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", words: b
 
     Words are runs of non-blank characters after lower-casing A-Z; shingles of ``shingle`` words count as often as
     they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero. With
-    ``words`` the fingerprint of its single words comes along as ``fp_words``.
+    ``words`` the fingerprint of the set of its single words comes along as ``fp_words``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", words: b
             texts = batch[text].tolist()
             out = pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(texts, shingle).view(np.int64)})
             if words:
-                out["fp_words"] = _fingerprints(texts, 1).view(np.int64)
+                out["fp_words"] = _fingerprints(texts, 1, distinct=True).view(np.int64)
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -103,6 +106,21 @@ def _close(x: np.ndarray, y: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.
     return i[keep], j[keep]
 
 
+def _close_in_cells(fp: np.ndarray, end: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``max_bits`` among the rows of each cell; ``end`` is where a row's cell ends (0: leave it out)."""
+    table, left, right = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :2]).astype(np.int8), [], []
+    row = np.arange(len(fp))
+    for shift in range(1, SMALL):
+        row = row[row + shift < end[row]]
+        if not len(row):
+            break
+        i = row[(np.abs(table[row] - table[row + shift]) <= max_bits).all(axis=1)]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= max_bits]
+        left.append(i)
+        right.append(i + shift)
+    return (np.concatenate(left), np.concatenate(right)) if left else (row, row)
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links, so that a dense group yields no more edges than it has members."""
     parent = list(range(n))
@@ -184,11 +202,13 @@ def links(classes: DataFrame, max_bits: int = 2, blocks: int = BLOCKS) -> DataFr
         fps, own = batch["fp"].to_numpy(np.int64).view(np.uint64), batch["own"].to_numpy()
         a, b = [], []
         size = np.diff(start)
-        two = start[:-1][size == 2]  # most cells hold two rows: all of them at once
-        near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= max_bits]
-        a.append(fps[near])
-        b.append(fps[near + 1])
-        for lo, hi in zip(start[:-1][size > 2].tolist(), (start[1:])[size > 2].tolist()):
+        end = np.zeros(len(fps), dtype=np.int64)
+        end[: start[-1]] = np.repeat(np.where(size <= SMALL, start[1:], 0), size)
+        i, j = _close_in_cells(fps, end, max_bits)
+        pairs = np.array(list(_forest(len(fps), i, j)), dtype=np.int64).reshape(-1, 2)
+        a.append(fps[pairs[:, 0]])
+        b.append(fps[pairs[:, 1]])
+        for lo, hi in zip(start[:-1][size > SMALL].tolist(), start[1:][size > SMALL].tolist()):
             x, tile = fps[lo:hi], own[lo:hi]
             p, q = unit[lo, 2], unit[lo, 3]
             left, right = (np.arange(hi - lo),) * 2 if p == q else (np.flatnonzero(tile == p), np.flatnonzero(tile == q))
@@ -297,20 +317,20 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
     return member.groupBy("root", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
+def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` where documents link by near fingerprints or by verified similarity.
 
     Links are those of :func:`near_duplicates` and, beyond them, pairs whose sets of ``shingle``-word shingles have a
     Jaccard similarity of ``similarity`` or more. Fingerprints of long shingles differ in too many bits for that: one
-    changed word changes ``shingle`` of them. So candidates come from fingerprints of single words within
-    ``max_bits``, and every candidate pair is verified by its shingles. Null ids take no part in the second kind.
+    changed word changes ``shingle`` of them. So candidates come from fingerprints of the sets of single words within
+    ``max_bits`` (in sets, common words do not make unlike texts alike), and candidates are verified by their shingles. Null ids take no part in the second kind.
     """
     prints = materialize(fingerprints(docs, exact_shingle, text, words=True), "prints")
     first = materialize(_placed(prints, exact_bits), "first_links")
     # Copies are one vertex: the smallest id of each fingerprint of the first kind stands for its rows.
     heads = first.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id"), F.min("fp_words").alias("fp_words"))
     heads = materialize(heads, "heads")
-    roots = connected_components(links(heads.select(F.col("fp_words").alias("fp")).distinct(), max_bits, blocks=6))
+    roots = connected_components(links(heads.select(F.col("fp_words").alias("fp")).distinct(), max_bits, blocks=8))
     groups = heads.join(roots.withColumnRenamed("id", "fp_words"), "fp_words", "left").select("doc_id", F.coalesce("component", "fp_words").alias("root"))
     edges = similar_links(docs, groups, shingle, similarity, text)
     both = edges.unionByName(heads.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("b is not null and a <> b"))
