@@ -8,33 +8,46 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """``(id, label)``: the smallest id among each id of ``edges(a, b)`` and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+
+
+def _flat(labels: DataFrame, max_rounds: int) -> DataFrame:
+    """Follow labels to the end of their chains, twice as far in each round. Ends are ids that label themselves."""
+    for _ in range(max_rounds):
+        jump = labels.where("label < id").select(F.col("id").alias("label"), F.col("label").alias("next"))
+        moved = labels.join(jump, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved"))
+        moved = materialize(moved, "labels")
+        labels = moved.select("id", "label")
+        if moved.where("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for each id of ``edges(a, b)``; a component is named by its smallest id.
 
-    Every round takes the smallest label among the neighbours of an id and then jumps to the label of that label, so
-    that the rounds grow with the logarithm of a component's diameter. Only minima are aggregated (combined before
-    the shuffle), so a hub with many neighbours is no larger a row than any other. Each round is written to the
-    shared folder. No edges give an empty table.
+    In each round an id takes the smallest label of its neighbours and labels are followed to the ends of their
+    chains; then edges are drawn between ends alone, and those within one are gone. Each round at least halves the ids that
+    still have edges. Only minima are aggregated (combined before the shuffle), so a hub with many neighbours is no
+    larger a row than any other. Each round is written to the shared folder. No edges give an empty table.
     """
-    both = edges.where("a <> b").select("a", "b")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
-    labels = materialize(labels, "labels")
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    levels = []
     for _ in range(max_rounds):
-        if labels.isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        best = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-            .withColumnRenamed("a", "id")
-        )
-        moved = labels.join(best, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        moved = materialize(moved, "moved")
-        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = moved.join(jump, "label", "left").select("id", "old", F.least("label", "next").alias("label"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("id", "label")
-        if jumped.where("label < old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        labels = _flat(materialize(_least(edges), "labels"), max_rounds)
+        levels.append(labels)
+        ends = [labels.select(F.col("id").alias(x), F.col("label").alias(f"end_{x}")) for x in ("a", "b")]
+        drawn = edges.join(ends[0], "a").join(ends[1], "b").where("end_a <> end_b")
+        edges = materialize(drawn.select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    out = levels[0]
+    for level in levels[1:]:
+        step = level.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        out = materialize(out.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+    return out.withColumnRenamed("label", "component")
