@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -252,7 +252,9 @@ def _placed(prints: DataFrame, max_bits: int) -> DataFrame:
 
 
 #: Texts of a candidate group that are compared by their shingles at a time.
-TEXT_TILE = 256
+TEXT_TILE = 512
+#: Texts of a larger group that all its texts are compared with first.
+LEADERS = 16
 
 
 def _tile_overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -274,13 +276,58 @@ def _tile_overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return shared
 
 
+def _with_leaders(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` with ``ids`` (the leaders of its group that a text is similar to), ``main`` and ``near``.
+
+    Leaders are up to ``LEADERS`` texts of a group of more than one tile, chosen by hash. ``main`` marks the texts that
+    links with leaders join into the largest part of their group. A text outside it can be similar to one inside only
+    if it is ``near``: the distance of sets is a metric, so it is then within twice the distance of a leader there.
+    """
+    large = sets.where("tiles > 1")
+    chosen = large.where(F.col("own") < LEADERS).groupBy("root", "own").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("l"))
+    chosen = chosen.select("root", F.col("own").alias("k"), F.col("l.doc_id").alias("doc_id"))
+    leaders = large.join(chosen, ["root", "doc_id"]).groupBy("root", "tiles").agg(F.array_sort(F.collect_list(F.struct("k", F.col("doc_id").alias("id"), "hashes"))).alias("leaders"))
+    # One copy for each tile: a large group is joined tile by tile.
+    leaders = leaders.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", "own", "leaders")
+    shared = lambda l: F.size(F.array_intersect("hashes", l["hashes"]))
+    alike = F.transform("leaders", lambda l: shared(l) / (F.size("hashes") + F.size(l["hashes"]) - shared(l)))
+    rated = sets.join(leaders, ["root", "own"], "left").withColumn("alike", alike)
+    hit = F.filter(F.transform("leaders", lambda l, i: F.struct(i.alias("i"), l["id"].alias("id"), F.get("alike", i).alias("j"))), lambda x: x["j"] >= similarity)
+    rated = rated.withColumn("hit", hit).withColumn("hits", F.transform("hit", lambda x: x["i"])).withColumn("ids", F.transform("hit", lambda x: x["id"]))
+    rated = materialize(rated.drop("leaders", "hit"), "leader_links")
+
+    def largest(group: pd.DataFrame) -> pd.DataFrame:
+        """The leaders that shared texts join into the part with the most texts; a row for each set of leaders."""
+        parts: list[tuple[set[int], int]] = []
+        for hits, n in zip(group["hits"], group["n"]):
+            part, total = set(hits.tolist()), int(n)
+            for other in [x for x in parts if x[0] & part]:
+                parts.remove(other)
+                part, total = part | other[0], total + other[1]
+            parts.append((part, total))
+        best = max(parts, key=lambda x: (x[1], sorted(x[0])))[0]
+        return pd.DataFrame({"root": group["root"].iloc[:1], "best": pd.Series([sorted(best)], dtype=object, index=group.index[:1])})
+
+    kinds = rated.where(F.size("hits") > 0).groupBy("root", "hits").agg(F.count(F.lit(1)).alias("n"))
+    best = materialize(kinds.groupBy("root").applyInPandas(largest, "root long, best array<int>"), "main_leaders")
+    best = best.join(sets.groupBy("root").agg(F.max("tiles").alias("tiles")), "root").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rated = rated.join(best.select("root", "own", "best"), ["root", "own"], "left")
+    main = F.coalesce(F.arrays_overlap("hits", "best"), F.lit(False))
+    reach = F.exists("best", lambda i: F.get("alike", i) >= 2 * similarity - 1 - 1e-9)
+    rated = rated.withColumn("main", main).withColumn("near", ~F.col("main") & F.coalesce(reach, F.lit(False)))
+    return rated.select("doc_id", "root", "hashes", "ids", "main", "near")
+
+
 def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """Edges ``(a, b)`` of a spanning forest of the pairs within a group whose sets of shingles have at least that
-    Jaccard similarity.
+    """Edges ``(a, b)`` whose components are those of the pairs within a group whose sets of shingles have at least
+    that Jaccard similarity.
 
-    ``groups(doc_id, root)`` names the candidates. A group of up to ``TEXT_TILE`` texts is one unit of work, a larger
-    one a unit for each pair of its tiles; no pair is left out. Shingles are compared by 64-bit hashes.
+    ``groups(doc_id, root)`` names the candidates. A group of up to ``TEXT_TILE`` texts is one unit of work. In a
+    larger one, texts are first compared with a few leaders, at a cost linear in the group; what leaders already join
+    is not compared again, and the rest is compared exactly, as a unit for each pair of tiles. Shingles are compared
+    by 64-bit hashes.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest, join = xxhash.xxh64_intdigest, b" ".join
@@ -293,13 +340,31 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
                 out.append(np.sort(np.array(list(found), dtype=np.uint64)).view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "root": batch["root"], "tiles": batch["tiles"], "hashes": pd.Series(out, dtype=object)})
 
+    def tiled(tiles: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit("tile")), F.col(tiles)).cast("int")
+
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TEXT_TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = materialize(groups.join(sizes.drop("n"), "root"), "candidates")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    bodies = docs.select("doc_id", text).join(placed, "doc_id").mapInPandas(hashed, f"doc_id {kind}, root long, tiles int, hashes array<long>")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    member = bodies.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    member = member.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "hashes")
+    sets = docs.select("doc_id", text).join(placed, "doc_id").mapInPandas(hashed, f"doc_id {kind}, root long, tiles int, hashes array<long>")
+    sets = materialize(sets.withColumn("own", tiled("tiles")), "shingle_sets")
+    rated = materialize(_with_leaders(sets, similarity), "rated_sets")
+    stars = rated.where(F.size("ids") > 0).select("doc_id", "ids")
+    links_of = stars.select(F.get("ids", F.lit(0)).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    between = stars.select("ids").distinct().select(F.get("ids", F.lit(0)).alias("a"), F.explode("ids").alias("b")).where("a <> b")
+
+    count = lambda c: F.ceil(F.count_if(c) / TEXT_TILE).cast("int")
+    tiles = rated.groupBy("root").agg(count(~F.col("main")).alias("t_rest"), count(F.col("near")).alias("t_near"), count(F.col("main")).alias("t_main"))
+    tiles = materialize(tiles, "rest_tiles")
+    each = rated.drop("ids").join(tiles, "root")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = each.where(~F.col("main")).withColumn("own", tiled("t_rest")).withColumn("other", every("t_rest"))
+    rest = rest.select("root", F.lit(0).alias("side_of"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "hashes")
+    rest = rest.withColumn("right", F.col("own") == F.col("q")).drop("own")
+    near = each.where("near and t_main > 0").withColumn("p", tiled("t_near")).withColumn("q", every("t_main")).withColumn("right", F.lit(False))
+    inside = each.where("main and t_near > 0").withColumn("q", tiled("t_main")).withColumn("p", every("t_near")).withColumn("right", F.lit(True))
+    columns = ["root", "side_of", "p", "q", "right", "doc_id", "hashes"]
+    across = [x.withColumn("side_of", F.lit(1)).select(columns) for x in (near, inside)]
+    member = rest.select(columns).unionByName(across[0]).unionByName(across[1])
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(x) for x in tile["hashes"]]
@@ -307,14 +372,15 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
         shared = _tile_overlaps(sets).astype(np.float64)
         union = size[:, None] + size[None, :] - shared
         close = np.triu((shared >= similarity * union) & (union > 0), 1)
-        if tile["p"].iloc[0] != tile["q"].iloc[0]:
-            own = tile["own"].to_numpy()
-            close &= own[:, None] != own[None, :]
+        if tile["side_of"].iloc[0] or tile["p"].iloc[0] != tile["q"].iloc[0]:
+            right = tile["right"].to_numpy(bool)
+            close &= right[:, None] != right[None, :]
         ids = tile["doc_id"].tolist()
         pairs = [(ids[u], ids[v]) for u, v in _forest(len(ids), *np.nonzero(close))]
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return member.groupBy("root", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+    found = member.groupBy("root", "side_of", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+    return found.unionByName(links_of).unionByName(between)
 
 
 def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
