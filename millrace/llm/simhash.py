@@ -13,6 +13,7 @@ false.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,8 +46,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: list[str | None], shingle: int, distinct: bool = False) -> np.ndarray:
-    """Fingerprints of many texts; hashes are unpacked in slices of bounded size. ``distinct``: each shingle counts once."""
+def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+    """Fingerprints of many texts; hashes are unpacked in slices of bounded size."""
     out = np.zeros(len(texts), dtype=np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for i, text in enumerate(texts):
@@ -55,7 +56,7 @@ def _fingerprints(texts: list[str | None], shingle: int, distinct: bool = False)
             continue
         width = min(shingle, len(words))
         shingles = map(join, zip(*(words[j:] for j in range(width))))
-        hashes = np.array([digest(x, 42) for x in (set(shingles) if distinct else shingles)], dtype="<u8")
+        hashes = np.array([digest(x, 42) for x in shingles], dtype="<u8")
         ones = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 16):
             part = hashes[at : at + (1 << 16)]
@@ -64,24 +65,20 @@ def _fingerprints(texts: list[str | None], shingle: int, distinct: bool = False)
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", words: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
     """``(doc_id, fp)`` for each document; ``fp`` is the fingerprint's 64 bits as a signed long.
 
     Words are runs of non-blank characters after lower-casing A-Z; shingles of ``shingle`` words count as often as
-    they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero. With
-    ``words`` the fingerprint of the set of its single words comes along as ``fp_words``.
+    they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch[text].tolist()
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(texts, shingle).view(np.int64)})
-            if words:
-                out["fp_words"] = _fingerprints(texts, 1, distinct=True).view(np.int64)
-            yield out
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(texts, shingle).view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, fp long" + ", fp_words long" * words)
+    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, fp long")
 
 
 def _coordinates(fp: np.ndarray) -> np.ndarray:
@@ -330,14 +327,8 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
         for batch in batches:
-            out = []
-            for body in batch[text]:
-                words = body.encode("utf-8", "surrogatepass").lower().split() if body else []
-                width = min(shingle, len(words)) or 1
-                found = {digest(x, 7) for x in map(join, zip(*(words[j:] for j in range(width))))}
-                out.append(np.sort(np.array(list(found), dtype=np.uint64)).view(np.int64))
+            out = [_shingle_set(body, shingle) for body in batch[text]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "root": batch["root"], "tiles": batch["tiles"], "hashes": pd.Series(out, dtype=object)})
 
     def tiled(tiles: str) -> Column:
@@ -383,22 +374,168 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
     return found.unionByName(links_of).unionByName(between)
 
 
-def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
+#: Texts whose shingles are counted to tell common shingles from rare ones, the least count there of a common one, and
+#: how many common ones are kept. They decide the cost of the candidates, never which pairs are found.
+COUNTED, COMMON, MOST_COMMON = 16384, 3, 1 << 18
+#: Texts that share a shingle of their prefixes are paired at once up to so many; more are a group of :func:`similar_links`.
+LIST = 16
+
+
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    width = min(shingle, len(words)) or 1
+    return np.unique(np.array([digest(x, 7) for x in map(join, zip(*(words[j:] for j in range(width))))], dtype=np.uint64)).view(np.int64)
+
+
+def _common_shingles(texts: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, in order, and how often they occur in a sample of about ``COUNTED`` texts."""
+    n = texts.count()
+    if n > COUNTED:
+        texts = texts.where(F.pmod(F.xxhash64(F.lit("count"), "doc_id"), F.lit(1 << 30)) < int(COUNTED / n * (1 << 30)))
+
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                sets = [_shingle_set(x, shingle) for x in batch[text].iloc[at : at + 512]]
+                yield pd.DataFrame({"h": np.concatenate(sets)})
+
+    counts = texts.select(text).mapInPandas(exploded, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
+    """``(h, doc_id, size, at)``: the rarest shingles of each text, as many as two similar texts must share one of.
+
+    All texts order their shingles alike (by count among the common ones, then by hash). Of two sets with a Jaccard
+    similarity ``t``, each of the size ``n`` shares ``ceil(t n)`` or more, so one shared is among its first
+    ``n - ceil(t n) + 1``, and the first one shared is in that prefix of both.
+    """
+    table = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle, text))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, counts = table.value
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part, ids, out = batch.iloc[lo : lo + 512], [], []
+                for name, body in zip(part["doc_id"], part[text]):
+                    hashes = _shingle_set(body, shingle)
+                    n = len(hashes)
+                    if not n:
+                        continue
+                    often = np.zeros(n, dtype=np.int64)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                        often = np.where(common[place] == hashes, counts[place], 0)
+                    first = hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+                    ids += [name] * len(first)
+                    out.append(np.stack([first, np.full(len(first), n), np.arange(len(first))], axis=1))
+                if out:
+                    h, size, at = np.concatenate(out).T
+                    yield pd.DataFrame({"h": h, "doc_id": ids, "size": size.astype(np.int32), "at": at.astype(np.int32)})
+
+    return texts.mapInPandas(run, f"h long, doc_id {kind}, size int, at int")
+
+
+def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, many)``: pairs of texts that share a shingle of their prefixes and whose sizes and places allow the
+    similarity. Where more than ``LIST`` texts share it, its first text and each other one instead, with ``many``."""
+    kind = prefixes.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lists come sorted, so each is a run of rows; the last run of a batch waits for the next batch."""
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            h = batch["h"].to_numpy(np.int64)
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            rest = batch.iloc[start[-1] :]
+            yield from found(batch.iloc[: start[-1]], start)
+        if rest is not None:
+            yield from found(rest, np.array([0, len(rest)]))
+
+    def found(batch: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
+        if not len(batch):
+            return
+        count = np.diff(start)
+        end, first = np.repeat(start[1:], count), np.repeat(start[:-1], count)
+        many = np.repeat(count > LIST, count)
+        size, at, ids = batch["size"].to_numpy(np.int64), batch["at"].to_numpy(np.int64), batch["doc_id"].to_numpy()
+        row = np.flatnonzero(many & (first != np.arange(len(batch))))
+        yield pd.DataFrame({"a": ids[first[row]], "b": ids[row], "many": True})
+        row = np.flatnonzero(~many)
+        for shift in range(1, LIST):
+            row = row[row + shift < end[row]]
+            i, j = row, row + shift
+            # The first shingle that two texts share is shared with all that may follow it, and no more.
+            shared = np.minimum(size[i] - at[i], size[j] - at[j])
+            keep = shared * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
+            i, j = i[keep], j[keep]
+            less = ids[i] <= ids[j]
+            yield pd.DataFrame({"a": np.where(less, ids[i], ids[j]), "b": np.where(less, ids[j], ids[i]), "many": False})
+
+    lists = prefixes.repartition("h").sortWithinPartitions("h").mapInPandas(run, f"a {kind}, b {kind}, many boolean")
+    return lists.where("a <> b").distinct()
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets of shingles have the similarity."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": pd.Series([_shingle_set(x, shingle) for x in part[text]], dtype=object, index=part.index)})
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = texts.join(needed, "doc_id", "left_semi").mapInPandas(hashed, f"doc_id {kind}, hashes array<long>")
+    sets = materialize(sets, "pair_sets")
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(alike, f"a {kind}, b {kind}")
+
+
+def all_similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """Edges ``(a, b)`` whose components are those of all pairs of texts whose sets of shingles have at least that
+    Jaccard similarity; no pair is missed. ``texts`` has a row for each ``doc_id``.
+
+    Candidates share one of the rarest shingles of both (:func:`_prefixes`). Lists of few texts give pairs, longer ones
+    are joined where they have texts in common and compared as groups.
+    """
+    texts = texts.select("doc_id", text)
+    found = materialize(_candidates(_prefixes(texts, shingle, similarity, text), similarity), "similar_candidates")
+    groups = connected_components(found.where("many").select(F.col("a").cast("long"), F.col("b").cast("long")))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    groups = groups.select(F.col("id").cast(kind).alias("doc_id"), F.col("component").alias("root"))
+    pairs = _verified(texts, found.where("not many").select("a", "b"), shingle, similarity, text)
+    return similar_links(texts, groups, shingle, similarity, text).unionByName(pairs)
+
+
+def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` where documents link by near fingerprints or by verified similarity.
 
-    Links are those of :func:`near_duplicates` and, beyond them, pairs whose sets of ``shingle``-word shingles have a
-    Jaccard similarity of ``similarity`` or more. Fingerprints of long shingles differ in too many bits for that: one
-    changed word changes ``shingle`` of them. So candidates come from fingerprints of the sets of single words within
-    ``max_bits`` (in sets, common words do not make unlike texts alike), and candidates are verified by their shingles. Null ids take no part in the second kind.
+    Links are those of :func:`near_duplicates` and, beyond them, all pairs whose sets of ``shingle``-word shingles have
+    a Jaccard similarity of ``similarity`` or more (:func:`all_similar_links`). Null ids take no part in the second kind.
     """
-    prints = materialize(fingerprints(docs, exact_shingle, text, words=True), "prints")
+    prints = materialize(fingerprints(docs, exact_shingle, text), "prints")
     first = materialize(_placed(prints, exact_bits), "first_links")
     # Copies are one vertex: the smallest id of each fingerprint of the first kind stands for its rows.
-    heads = first.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id"), F.min("fp_words").alias("fp_words"))
+    heads = first.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id"))
     heads = materialize(heads, "heads")
-    roots = connected_components(links(heads.select(F.col("fp_words").alias("fp")).distinct(), max_bits, blocks=8))
-    groups = heads.join(roots.withColumnRenamed("id", "fp_words"), "fp_words", "left").select("doc_id", F.coalesce("component", "fp_words").alias("root"))
-    edges = similar_links(docs, groups, shingle, similarity, text)
+    edges = all_similar_links(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), shingle, similarity, text)
     both = edges.unionByName(heads.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("b is not null and a <> b"))
     merged = connected_components(both.select(F.col("a").cast("long"), F.col("b").cast("long")))
     head = heads.select("fp", F.col("doc_id").alias("head"))
