@@ -524,22 +524,31 @@ def all_similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.
     return similar_links(texts, groups, shingle, similarity, text).unionByName(pairs)
 
 
-def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, exact_shingle: int = 3, exact_bits: int = 2, text: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` where documents link by near fingerprints or by verified similarity.
+def _word_digests(docs: DataFrame, text: str) -> DataFrame:
+    """``(doc_id, words)``: a digest of 128 bits of each text's sequence of lower-cased words."""
 
-    Links are those of :func:`near_duplicates` and, beyond them, all pairs whose sets of ``shingle``-word shingles have
-    a Jaccard similarity of ``similarity`` or more (:func:`all_similar_links`). Null ids take no part in the second kind.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = (x.encode("utf-8", "surrogatepass").lower().split() if x else () for x in batch[text])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "words": [xxhash.xxh3_128_digest(b" ".join(x)) for x in words]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, words binary")
+
+
+def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` where documents link as copies or by verified similarity.
+
+    Documents of the same words link, and beyond them all pairs whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``similarity`` or more (:func:`all_similar_links`). Null ids take no part in the second kind. Near or
+    equal fingerprints alone link nothing here: a line that texts repeat can decide the fingerprints of unlike texts.
     """
-    prints = materialize(fingerprints(docs, exact_shingle, text), "prints")
-    first = materialize(_placed(prints, exact_bits), "first_links")
-    # Copies are one vertex: the smallest id of each fingerprint of the first kind stands for its rows.
-    heads = first.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id"))
-    heads = materialize(heads, "heads")
-    edges = all_similar_links(docs.join(heads.select("doc_id"), "doc_id", "left_semi"), shingle, similarity, text)
-    both = edges.unionByName(heads.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("b is not null and a <> b"))
-    merged = connected_components(both.select(F.col("a").cast("long"), F.col("b").cast("long")))
-    head = heads.select("fp", F.col("doc_id").alias("head"))
-    out = first.join(head, "fp", "left").join(merged.withColumnRenamed("id", "head"), "head", "left")
+    prints = materialize(_word_digests(docs, text), "prints")
+    # Copies are one vertex: the smallest id of each sequence of words stands for its rows.
+    heads = materialize(prints.where("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("head")), "heads")
+    edges = all_similar_links(docs.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity, text)
+    merged = connected_components(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
+    out = prints.join(heads, "words", "left").join(merged.withColumnRenamed("id", "head"), "head", "left")
     return out.select("doc_id", F.coalesce("component", "head").alias("component_id"))
 
 
