@@ -377,8 +377,10 @@ def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similari
 #: Texts whose shingles are counted to tell common shingles from rare ones, the least count there of a common one, and
 #: how many common ones are kept. They decide the cost of the candidates, never which pairs are found.
 COUNTED, COMMON, MOST_COMMON = 16384, 3, 1 << 18
-#: Texts that share a shingle of their prefixes are paired at once up to so many; more are a group of :func:`similar_links`.
+#: Candidates that a list of texts gives as pairs, for each of its texts; with more they are a group of :func:`similar_links`.
 LIST = 16
+#: Longer lists are a group without a look at their pairs.
+LONG_LIST = 2048
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -406,14 +408,14 @@ def _common_shingles(texts: DataFrame, shingle: int, text: str) -> tuple[np.ndar
     return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def _prefixes(texts: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float, text: str) -> DataFrame:
     """``(h, doc_id, size, at)``: the rarest shingles of each text, as many as two similar texts must share one of.
 
     All texts order their shingles alike (by count among the common ones, then by hash). Of two sets with a Jaccard
     similarity ``t``, each of the size ``n`` shares ``ceil(t n)`` or more, so one shared is among its first
     ``n - ceil(t n) + 1``, and the first one shared is in that prefix of both.
     """
-    table = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle, text))
+    table = texts.sparkSession.sparkContext.broadcast(common)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -442,7 +444,7 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, text: str) -> D
 
 def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     """``(a, b, many)``: pairs of texts that share a shingle of their prefixes and whose sizes and places allow the
-    similarity. Where more than ``LIST`` texts share it, its first text and each other one instead, with ``many``."""
+    similarity. Where they are more than ``LIST`` for each text, a spanning forest of them instead, with ``many``."""
     kind = prefixes.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -462,22 +464,33 @@ def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
     def found(batch: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
         if not len(batch):
             return
-        count = np.diff(start)
-        end, first = np.repeat(start[1:], count), np.repeat(start[:-1], count)
-        many = np.repeat(count > LIST, count)
         size, at, ids = batch["size"].to_numpy(np.int64), batch["at"].to_numpy(np.int64), batch["doc_id"].to_numpy()
-        row = np.flatnonzero(many & (first != np.arange(len(batch))))
-        yield pd.DataFrame({"a": ids[first[row]], "b": ids[row], "many": True})
-        row = np.flatnonzero(~many)
-        for shift in range(1, LIST):
-            row = row[row + shift < end[row]]
-            i, j = row, row + shift
+
+        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             # The first shingle that two texts share is shared with all that may follow it, and no more.
-            shared = np.minimum(size[i] - at[i], size[j] - at[j])
-            keep = shared * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
-            i, j = i[keep], j[keep]
+            return np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
+
+        def pairs(i: np.ndarray, j: np.ndarray, many: bool) -> pd.DataFrame:
             less = ids[i] <= ids[j]
-            yield pd.DataFrame({"a": np.where(less, ids[i], ids[j]), "b": np.where(less, ids[j], ids[i]), "many": False})
+            return pd.DataFrame({"a": np.where(less, ids[i], ids[j]), "b": np.where(less, ids[j], ids[i]), "many": many})
+
+        count = np.diff(start)
+        end = np.repeat(start[1:], count)
+        row = np.flatnonzero(np.repeat(count <= LIST, count))
+        for shift in range(1, LIST):
+            row = row[row + shift < end[row]]
+            i = row[allowed(row, row + shift)]
+            yield pairs(i, i + shift, False)
+        for lo, hi in zip(start[:-1][count > LIST].tolist(), start[1:][count > LIST].tolist()):
+            if hi - lo > LONG_LIST:
+                yield pairs(np.full(hi - lo - 1, lo), np.arange(lo + 1, hi), True)
+                continue
+            row = np.arange(lo, hi)
+            i, j = np.nonzero(np.triu(allowed(row[:, None], row[None, :]), 1))
+            many = len(i) > LIST * len(row)
+            if many:
+                i, j = np.array(list(_forest(len(row), i, j))).T
+            yield pairs(lo + i, lo + j, many)
 
     lists = prefixes.repartition("h").sortWithinPartitions("h").mapInPandas(run, f"a {kind}, b {kind}, many boolean")
     return lists.where("a <> b").distinct()
@@ -508,20 +521,22 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
     return both.select("a", "b", "x", "y").mapInPandas(alike, f"a {kind}, b {kind}")
 
 
-def all_similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+def all_similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", ids: DataFrame | None = None) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of texts whose sets of shingles have at least that
-    Jaccard similarity; no pair is missed. ``texts`` has a row for each ``doc_id``.
+    Jaccard similarity; no pair is missed. ``ids(doc_id)`` names the texts, by default all.
 
-    Candidates share one of the rarest shingles of both (:func:`_prefixes`). Lists of few texts give pairs, longer ones
+    Candidates share one of the rarest shingles of both (:func:`_prefixes`). Few of a shingle are compared as pairs; many
     are joined where they have texts in common and compared as groups.
     """
-    texts = texts.select("doc_id", text)
-    found = materialize(_candidates(_prefixes(texts, shingle, similarity, text), similarity), "similar_candidates")
+    docs = docs.select("doc_id", text)
+    texts = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
+    prefixes = _prefixes(texts, _common_shingles(docs, shingle, text), shingle, similarity, text)
+    found = materialize(_candidates(prefixes, similarity), "similar_candidates")
     groups = connected_components(found.where("many").select(F.col("a").cast("long"), F.col("b").cast("long")))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     groups = groups.select(F.col("id").cast(kind).alias("doc_id"), F.col("component").alias("root"))
-    pairs = _verified(texts, found.where("not many").select("a", "b"), shingle, similarity, text)
-    return similar_links(texts, groups, shingle, similarity, text).unionByName(pairs)
+    pairs = _verified(docs, found.where("not many").select("a", "b"), shingle, similarity, text)
+    return similar_links(docs, groups, shingle, similarity, text).unionByName(pairs)
 
 
 def _word_digests(docs: DataFrame, text: str) -> DataFrame:
@@ -546,7 +561,8 @@ def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity:
     prints = materialize(_word_digests(docs, text), "prints")
     # Copies are one vertex: the smallest id of each sequence of words stands for its rows.
     heads = materialize(prints.where("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("head")), "heads")
-    edges = all_similar_links(docs.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi"), shingle, similarity, text)
+    ids = materialize(heads.select(F.col("head").alias("doc_id")), "head_ids")
+    edges = all_similar_links(docs, shingle, similarity, text, ids)
     merged = connected_components(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
     out = prints.join(heads, "words", "left").join(merged.withColumnRenamed("id", "head"), "head", "left")
     return out.select("doc_id", F.coalesce("component", "head").alias("component_id"))
