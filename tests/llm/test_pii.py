@@ -56,3 +56,12 @@ def test_digest_and_mask(spark):
     assert masked[0]["text"] == "é mail <EMAIL>, <IP> and <PHONE>" and masked[1]["text"] is None
     assert pii.digest(frame(spark, [])).count() == 0
     assert pii.mask("abcdef", [("x", 1, 4, 1.0), ("y", 2, 5, 1.0)]) == "a<X>f"
+
+
+def test_secrets_of_any_length():
+    for n in (24, 200, 201, 4000, 300_000):
+        run = ("aB3+d/9x" * (n // 8 + 1))[:n]
+        assert [x[:3] for x in pii.find_spans(f"token: {run} end")] == [("secret", 7, 7 + n)], n
+    assert not pii.find_spans("token: aB3+d/9xaB3+d/9xaB3+d/9")
+    for run in ("aB3-" * 75_000, "-" * 300_000 + "1", "aB3 " * 75_000):
+        pii.find_spans(f"token: {run}")
