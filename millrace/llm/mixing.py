@@ -54,7 +54,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0,
     allowed; a null source is a source. An empty table gives an empty table.
     """
     added = ("size", "source_size", "weight", "target", "key", "copies", "cut_words", "taken")
-    sized = docs.drop(*added).withColumn("size", word_count(text))
+    own = ("_s", "_epochs", "_cut_key", "_tied", "_left")
+    sized = docs.drop(*added, *own).withColumn("size", word_count(text))
     # The id and the text's checksum: two documents with one id are still two documents.
     checksum = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), checksum)
@@ -87,13 +88,13 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: float = 3.0,
     small = small.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
     small = small.select("_s", F.col("key").alias("cut_key"), F.col("words").alias("tied"), (F.col("rest") - F.col("before")).alias("left"))
     plan = cut.join(small, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "weight", "target", "epochs", "cut_key", "tied", "left")
+    plan = plan.select(F.col("source").alias("_s"), "source_size", "weight", "target", *(F.col(x[1:]).alias(x) for x in own[1:]))
     plan = materialize(plan, "mix_plan")
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    out = out.withColumn("copies", F.col("epochs") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0))
-    share = F.floor(F.col("size") * F.col("left") / F.col("tied")).cast("long")
-    out = out.withColumn("cut_words", F.when(F.col("key") == F.col("cut_key"), share).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("cut_words")).drop("epochs", "cut_key", "tied", "left")
+    out = out.withColumn("copies", F.col("_epochs") + F.when(F.col("key") < F.col("_cut_key"), 1).otherwise(0))
+    share = F.floor(F.col("size") * F.col("_left") / F.col("_tied")).cast("long")
+    out = out.withColumn("cut_words", F.when(F.col("key") == F.col("_cut_key"), share).otherwise(F.lit(0)).cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("cut_words")).drop(*own)
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -101,7 +102,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
     Only whole documents are given here: the one at a source's cut is taken once more if at least half of it fits.
     """
-    mixed = mix(docs, text=text, **how)
+    # The user's columns travel in one struct, so that none of them is taken for a column of the mix.
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "source", F.col(text).alias("text"))
+    mixed = mix(kept, text="text", **how)
     times = F.col("copies") + F.when(F.col("cut_words") * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)
-    out = mixed.withColumn("_times", times).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    out = mixed.select("_row", times.alias("_times")).where("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")

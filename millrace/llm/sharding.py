@@ -64,7 +64,7 @@ def shard(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
     gives an empty table; columns of the names added are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("size", "text_crc32", "shard", "slot", "_h", "_slot", "_rank", "_runs", "_run")
+    docs = docs.drop("size", "text_crc32", "shard", "slot", "_h", "_slot", "_rank", "_runs", "_run", "_of")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("size", (F.octet_length(body) + 16).cast("long")).withColumn("text_crc32", F.crc32(body.cast("binary")))
     keyed = keyed.withColumn("_h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32"))
