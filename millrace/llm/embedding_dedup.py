@@ -126,9 +126,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, prefix: int = PREF
             keep = i < j if p == q else i >= 0
             i, j = i[keep], j[keep]
             if len(i):
-                # The product above may be off by rounding: the verdict is one sum of products, in order.
-                exact = np.array([float((x[u] * x[v]).sum()) for u, v in zip(i, j)]) if len(i) < 64 else np.einsum("ij,ij->i", x[i], x[j])
-                keep = exact >= threshold
+                # The product above may be off by rounding; this one sum of products is the verdict, however many pairs there are.
+                keep = (x[i] * x[j]).sum(axis=1) >= threshold
                 i, j = i[keep], j[keep]
             if len(i):
                 both = (shared[i][:, :, None] == shared[j][:, None, :]).any(axis=2)
