@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a folder
-    of our own is used and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode, where driver and executors are one
+    process, a folder of our own is used and set if that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file:///tmp/checkpoints/millrace-{uuid.uuid4().hex}"
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -46,7 +50,7 @@ def _clean() -> None:
         try:
             delete_path(spark, path)
         except Exception:  # the session may be gone; the folder is scratch space
-            return
+            continue
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -62,6 +66,83 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, each deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`materialize`, under a name for :meth:`drop`; a table of that name before it is deleted afterwards."""
+        out = materialize(df, name)
+        before = self.paths.get(name)
+        self.paths[name] = _written[-1]
+        if before:
+            self._delete(before)
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names, by default all."""
+        for name in names or list(self.paths):
+            if name in self.paths:
+                self._delete(self.paths.pop(name))
+
+    def _delete(self, entry: tuple[SparkSession, str]) -> None:
+        delete_path(*entry)
+        _written.remove(entry)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the rows of an Arrow batch to ``rows`` for this session unless they are fewer.
+
+    Whole texts cross to Python and back in these batches, and some texts are very long: the default of 10,000 rows
+    takes hundreds of MB beside the heap of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class WordCache(dict):
+    """Word to value. Of a full cache the newer half stays, as an older generation from which words in use come back."""
+
+    ROWS, LONGEST = 80_000, 64
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.ROWS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+_caches: dict[str, WordCache] = {}
+
+
+def worker_cache(name: str, make: Callable) -> WordCache:
+    """A cache that this Python worker keeps from task to task; one of another name takes its place."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = WordCache(make)
+    return _caches[name]
+
+
 def is_held_out(doc_id: str = "doc_id"):
     """Rows from which labels are never learnt: crc32 of the id as text is a multiple of five."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -11,18 +11,19 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, small_batches
 
-#: Words kept in a worker's cache of token ids; longer words aren't cached.
-CACHE, LONGEST = 400_000, 64
+#: Runs of letters or signs kept in each of two generations of a worker's cache of token ids; longer ones aren't cached.
+CACHE, LONGEST = 160_000, 64
 #: Pieces of one length that one task numbers, about.
 RANK_ROWS = 20_000
 
@@ -36,11 +37,28 @@ def split_words(text: str) -> list[str]:
     return [x for x in _BLANKS.split(text) if x] if _CONTROLS.search(text) else text.split()
 
 
-class WordIds(dict):
-    """Token ids (little-endian 32-bit bytes) of words between white space.
+#: Texts whose runs can be looked up one by one: ASCII and the letters of Latin-1. These have no other normal form and
+#: lower case is one to one. ``_RUNS`` cuts such a lower-cased text as the tokenizer does.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\\s]+").findall
 
-    The tokenizer drops white space and neither its normalizer nor its splitting looks across it, so a text's ids are
-    those of its words in turn; a test compares this with whole texts.
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in prints]
+    return {x: chr(x) for x in prints} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
+_LETTER = _byte_letters()
+_MAPPED = {x: "".join(_LETTER[b] for b in chr(x).encode()) for x in range(0xC0, 0x100)}
+
+
+class Runs(dict):
+    """Token ids (little-endian 32-bit bytes) of runs of letters, digits or signs, as the vocabulary merges them.
+
+    Of a full cache the newer half stays: it becomes the older generation, from which runs in use come back.
     """
 
     def __init__(self, path: str):
@@ -49,15 +67,49 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST:
+        self.model, self.older = self.tokenizer.model, {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.older.get(run)
+        if ids is None:
+            mapped = run if run.isascii() else run.translate(_MAPPED)
+            tokens = self.model.tokenize(mapped)
+            ids = struct.pack(f"<{len(tokens)}I", *(x.id for x in tokens))
+        if len(run) <= LONGEST:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
-            self[word] = ids
+            self[run] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text.
+
+        The tokenizer drops white space and neither its normalizer nor its splitting looks across it, so a text's ids
+        are those of its words in turn. Words with other signs go to the whole tokenizer. A test compares this with
+        whole texts.
+        """
+        if _PLAIN(text):
+            return b"".join(map(self.__getitem__, _RUNS(text.lower())))
+        out = []
+        for word in split_words(text):
+            if _PLAIN(word):
+                out += map(self.__getitem__, _RUNS(word.lower()))
+            else:
+                out.append(np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        return b"".join(out)
+
+
+_worker: dict[str, Runs] = {}
+
+
+def _runs_of(path: str) -> Runs:
+    """The cache of this Python worker, kept from task to task."""
+    if path not in _worker:
+        _worker.clear()
+        _worker[path] = Runs(path)
+    return _worker[path]
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` for each piece of each document.
@@ -66,20 +118,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -
     shorter, only if it is longer than that. A null or empty text is the id 0 alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end, step = WordIds(tokenizer), bytes(4), 4 * capacity
-        for batch in batches:
-            rows = []
-            for doc_id, body in zip(batch["doc_id"], batch[text]):
-                ids = b"".join(map(words.__getitem__, split_words(body))) + end if body else end
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, end, step = _runs_of(tokenizer), bytes(4), 4 * capacity
+        for batch in slices(batches):
+            owner, rows = [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                ids = runs.encode(body) + end if body else end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"piece": "int32"})
-
+                    owner.append(row)
+                    rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            numbers = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+            # Ids stay Arrow columns: a null beside them changes none.
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(numbers[0].astype(np.int32)), *map(pa.array, numbers[1:])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
