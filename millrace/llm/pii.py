@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "national", "secret")
 
@@ -163,6 +165,8 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has none. Every text is read whole; rows stay as they are, repeated ones too.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,score:double>>")
     def spans(texts: pd.Series) -> pd.Series:
         names = ("kind", "start", "end", "score")
@@ -187,6 +191,8 @@ def mask(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data masked in the text; other columns and all rows stay. A null text stays null."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return pd.Series([mask(t, s) if t and (s := find_spans(t)) else t for t in texts], dtype=object)

@@ -20,10 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, small_batches, worker_cache
 
 BUCKETS = 1 << 16
-CACHE, LONGEST = 300_000, 64
 SHAPES = 12
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]{2}").search
 _SIGNS = re.compile(r"[#*$%&|<>={}\[\]\\~^]").search
@@ -38,20 +37,6 @@ def _features_of_word(word: str) -> tuple[int, ...]:
     return (at, _UPPER(word) is not None, _SIGNS(word) is not None, _END(word) is not None, _DOUBLE(word) is not None, any(map(str.isdigit, word)), min(len(word), 40))
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = value
-        return value
-
-
 def shape(n: int, sums: np.ndarray, distinct: int, lines: int, distinct_lines: int) -> np.ndarray:
     """Dense features of a text from the sums over its words; all lie near 0 to 1."""
     if not n:
@@ -138,10 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_fit_rows
 
     Only the hashed features of that bounded sample reach the driver.
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, grade, max_fit_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Cache(_features_of_word)
+        cache = worker_cache("quality words", _features_of_word)
         for batch in batches:
             out = [(i, g, *(x.tolist() for x in _describe(t, cache))) for i, g, t in zip(batch["doc_id"], batch["grade"], batch["text"])]
             yield pd.DataFrame(out, columns=["doc_id", "grade", "at", "value", "dense"])
@@ -163,12 +149,13 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
 
     A null text is an empty one and gets a grade like any other. Rows stay as they are, repeated ones too.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.pandas_udf("struct<expected_grade:double,tail:array<double>>")
     def rated(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = OrdinalModel(**shared.value)
-        cache = _Cache(_features_of_word)
+        cache = worker_cache("quality words", _features_of_word)
         grades = np.array(of.grades, float)
         for texts in batches:
             expected, tails = [], []

@@ -12,19 +12,21 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, labelled_sample, materialize
+from .common import WordCache, is_held_out, labelled_sample, materialize, small_batches, worker_cache
 
 BUCKETS = 1 << 18
-CACHE, LONGEST = 300_000, 64
+#: Tasks that read the bounded sample; it is small, however many files it was gathered from.
+SAMPLE_TASKS = 8
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -43,22 +45,6 @@ def token_score(score: np.ndarray, word: str) -> float:
     return float(score[list(buckets(word))].max())
 
 
-class _Cache(dict):
-    """Word to value, with a bounded number of words kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = value
-        return value
-
-
 @dataclass
 class ToxicityModel:
     score: np.ndarray  # by bucket
@@ -67,6 +53,10 @@ class ToxicityModel:
     bias: float
     slope: float
     max_e: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def cache(self) -> WordCache:
+        return worker_cache(self.name, lambda w: token_score(self.score, w))
 
     def segments(self, text: str | None, cache: dict) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of tokens, and significant passages as (first token, end, score, expected number by chance)."""
@@ -145,20 +135,20 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _counts(sample: DataFrame) -> np.ndarray:
-    """In how many toxic and other texts a token's bucket occurs; at most BUCKETS rows reach the driver."""
+    """In how many toxic and other texts a token's bucket occurs; at most BUCKETS rows reach the driver, as Arrow columns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, cache = np.zeros((2, BUCKETS), dtype=np.int64), _Cache(buckets)
+        seen, cache = np.zeros((2, BUCKETS), dtype=np.int32), WordCache(buckets)
         for batch in batches:
             for label, text in zip(batch["grade"], batch["text"]):
                 seen[int(label > 0), list({k for w in set(text.split()) for k in cache[w]})] += 1
         at = np.flatnonzero(seen.sum(0))
-        yield pd.DataFrame({"bucket": at, "toxic": seen[1, at], "other": seen[0, at]})
+        yield pd.DataFrame({"bucket": at, "toxic": seen[1, at].astype(np.int64), "other": seen[0, at].astype(np.int64)})
 
     rows = sample.mapInPandas(run, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    out = np.zeros((2, BUCKETS))
-    for r in rows.collect():
-        out[:, r["bucket"]] = r["toxic"], r["other"]
+    found, out = rows.toArrow(), np.zeros((2, BUCKETS))
+    for k, name in enumerate(("toxic", "other")):
+        out[k, found["bucket"].to_numpy()] = found[name].to_numpy()
     return out
 
 
@@ -169,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, prior: f
     standard error taken off a score, ``drift`` what every token costs and ``cap`` the largest score of a token.
     Without toxic or without other rows no text is told apart and every score is the base rate.
     """
-    sample = materialize(labelled_sample(docs, labels, "toxic", max_fit_rows), "toxic_sample")
+    small_batches(docs.sparkSession)
+    sample = materialize(labelled_sample(docs, labels, "toxic", max_fit_rows), "toxic_sample").coalesce(SAMPLE_TASKS)
     toxic, other = _counts(sample)
     both = toxic + other
     score = np.full(BUCKETS, -drift)
@@ -186,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, prior: f
     model = ToxicityModel(score, lam, 1.0, 0.0, 0.0, max_e)
 
     def measure(of: ToxicityModel, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Cache(lambda w: token_score(of.score, w))
+        cache = of.cache()
         for batch in batches:
             rows = []
             for label, text in zip(batch["grade"], batch["text"]):
@@ -222,15 +213,17 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     """``docs`` with ``score`` (0 to 1) and ``passages`` added, in place of such columns.
 
     ``passages`` lists each significant passage: first token, end (exclusive), score and expected number by chance,
-    over tokens between white space. Null and empty texts have no passage and the score of a text without one.
+    over tokens between white space. Null and empty texts have no passage and the score of a text without one. Rows
+    stay as they are, repeated ones too, and an empty table stays empty; equal texts have equal scores.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kind = "struct<score:double,passages:array<struct<first:int,end:int,score:double,expected:double>>>"
 
     @F.pandas_udf(kind)
     def rated(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = ToxicityModel(**shared.value)
-        cache = _Cache(lambda w: token_score(of.score, w))
+        cache = of.cache()
         names = ("first", "end", "score", "expected")
         for texts in batches:
             scores, passages = [], []
