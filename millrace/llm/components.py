@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -14,12 +14,12 @@ def _least(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
 
 
-def _flat(labels: DataFrame, max_rounds: int) -> DataFrame:
+def _flat(labels: DataFrame, max_rounds: int, scratch: Scratch, name: str) -> DataFrame:
     """Follow labels to the end of their chains, twice as far in each round. Ends are ids that label themselves."""
     for _ in range(max_rounds):
         jump = labels.where("label < id").select(F.col("id").alias("label"), F.col("label").alias("next"))
         moved = labels.join(jump, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved"))
-        moved = materialize(moved, "labels")
+        moved = scratch.write(moved, name)
         labels = moved.select("id", "label")
         if moved.where("moved").isEmpty():
             return labels
@@ -34,20 +34,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     still have edges. Only minima are aggregated (combined before the shuffle), so a hub with many neighbours is no
     larger a row than any other. Each round is written to the shared folder. No edges give an empty table.
     """
-    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    levels = []
-    for _ in range(max_rounds):
-        labels = _flat(materialize(_least(edges), "labels"), max_rounds)
-        levels.append(labels)
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    out = None
+    for k in range(max_rounds):
+        labels = _flat(scratch.write(_least(edges), f"labels{k}"), max_rounds, scratch, f"labels{k}")
+        if out is None:
+            out = labels
+        else:
+            step = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+            out = scratch.write(out.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "joined")
         ends = [labels.select(F.col("id").alias(x), F.col("label").alias(f"end_{x}")) for x in ("a", "b")]
         drawn = edges.join(ends[0], "a").join(ends[1], "b").where("end_a <> end_b")
-        edges = materialize(drawn.select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct(), "edges")
+        edges = scratch.write(drawn.select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    out = levels[0]
-    for level in levels[1:]:
-        step = level.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        out = materialize(out.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
-    return out.withColumnRenamed("label", "component")
+    out = materialize(out.withColumnRenamed("label", "component"), "components")
+    scratch.drop()
+    return out

@@ -13,18 +13,19 @@ false.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize, slices, small_batches
 from .components import connected_components
+from .shingle_links import _small, similar_links, word_key, words_of
 
 BLOCKS = 4
 #: Rows of a cell that are compared at a time; a larger cell is dealt out as pairs of such tiles.
@@ -72,13 +73,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
     they occur. A text with fewer words is one shingle; a null, empty or blank text has fingerprint zero.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch[text].tolist()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": _fingerprints(texts, shingle).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fp = _fingerprints(batch.column(1).to_pylist(), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _coordinates(fp: np.ndarray) -> np.ndarray:
@@ -248,324 +250,50 @@ def _placed(prints: DataFrame, max_bits: int) -> DataFrame:
     return prints.join(of_class, "fp").select(*prints.columns, "component_id")
 
 
-#: Texts of a candidate group that are compared by their shingles at a time.
-TEXT_TILE = 512
-#: Texts of a larger group that all its texts are compared with first.
-LEADERS = 16
-
-
-def _tile_overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many hashes each two of the sets share; hashes of one set alone are left out, the others come in blocks."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(place, minlength=len(values)) > 1
-    column = np.cumsum(often) - 1
-    keep = often[place]
-    owner, place = owner[keep], column[place[keep]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for lo in range(0, int(often.sum()), width):
-        i, j = np.searchsorted(place, [lo, lo + width])
-        block = np.zeros((len(sets), width), dtype=np.float32)
-        block[owner[i:j], place[i:j] - lo] = 1
-        shared += block @ block.T
-    return shared
-
-
-def _with_leaders(sets: DataFrame, similarity: float) -> DataFrame:
-    """``sets`` with ``ids`` (the leaders of its group that a text is similar to), ``main`` and ``near``.
-
-    Leaders are up to ``LEADERS`` texts of a group of more than one tile, chosen by hash. ``main`` marks the texts that
-    links with leaders join into the largest part of their group. A text outside it can be similar to one inside only
-    if it is ``near``: the distance of sets is a metric, so it is then within twice the distance of a leader there.
-    """
-    large = sets.where("tiles > 1")
-    chosen = large.where(F.col("own") < LEADERS).groupBy("root", "own").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("l"))
-    chosen = chosen.select("root", F.col("own").alias("k"), F.col("l.doc_id").alias("doc_id"))
-    leaders = large.join(chosen, ["root", "doc_id"]).groupBy("root", "tiles").agg(F.array_sort(F.collect_list(F.struct("k", F.col("doc_id").alias("id"), "hashes"))).alias("leaders"))
-    # One copy for each tile: a large group is joined tile by tile.
-    leaders = leaders.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", "own", "leaders")
-    shared = lambda l: F.size(F.array_intersect("hashes", l["hashes"]))
-    alike = F.transform("leaders", lambda l: shared(l) / (F.size("hashes") + F.size(l["hashes"]) - shared(l)))
-    rated = sets.join(leaders, ["root", "own"], "left").withColumn("alike", alike)
-    hit = F.filter(F.transform("leaders", lambda l, i: F.struct(i.alias("i"), l["id"].alias("id"), F.get("alike", i).alias("j"))), lambda x: x["j"] >= similarity)
-    rated = rated.withColumn("hit", hit).withColumn("hits", F.transform("hit", lambda x: x["i"])).withColumn("ids", F.transform("hit", lambda x: x["id"]))
-    rated = materialize(rated.drop("leaders", "hit"), "leader_links")
-
-    def largest(group: pd.DataFrame) -> pd.DataFrame:
-        """The leaders that shared texts join into the part with the most texts; a row for each set of leaders."""
-        parts: list[tuple[set[int], int]] = []
-        for hits, n in zip(group["hits"], group["n"]):
-            part, total = set(hits.tolist()), int(n)
-            for other in [x for x in parts if x[0] & part]:
-                parts.remove(other)
-                part, total = part | other[0], total + other[1]
-            parts.append((part, total))
-        best = max(parts, key=lambda x: (x[1], sorted(x[0])))[0]
-        return pd.DataFrame({"root": group["root"].iloc[:1], "best": pd.Series([sorted(best)], dtype=object, index=group.index[:1])})
-
-    kinds = rated.where(F.size("hits") > 0).groupBy("root", "hits").agg(F.count(F.lit(1)).alias("n"))
-    best = materialize(kinds.groupBy("root").applyInPandas(largest, "root long, best array<int>"), "main_leaders")
-    best = best.join(sets.groupBy("root").agg(F.max("tiles").alias("tiles")), "root").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rated = rated.join(best.select("root", "own", "best"), ["root", "own"], "left")
-    main = F.coalesce(F.arrays_overlap("hits", "best"), F.lit(False))
-    reach = F.exists("best", lambda i: F.get("alike", i) >= 2 * similarity - 1 - 1e-9)
-    rated = rated.withColumn("main", main).withColumn("near", ~F.col("main") & F.coalesce(reach, F.lit(False)))
-    return rated.select("doc_id", "root", "hashes", "ids", "main", "near")
-
-
-def similar_links(docs: DataFrame, groups: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of the pairs within a group whose sets of shingles have at least
-    that Jaccard similarity.
-
-    ``groups(doc_id, root)`` names the candidates. A group of up to ``TEXT_TILE`` texts is one unit of work. In a
-    larger one, texts are first compared with a few leaders, at a cost linear in the group; what leaders already join
-    is not compared again, and the rest is compared exactly, as a unit for each pair of tiles. Shingles are compared
-    by 64-bit hashes.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [_shingle_set(body, shingle) for body in batch[text]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "root": batch["root"], "tiles": batch["tiles"], "hashes": pd.Series(out, dtype=object)})
-
-    def tiled(tiles: str) -> Column:
-        return F.pmod(F.xxhash64("doc_id", F.lit("tile")), F.col(tiles)).cast("int")
-
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TEXT_TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = materialize(groups.join(sizes.drop("n"), "root"), "candidates")
-    sets = docs.select("doc_id", text).join(placed, "doc_id").mapInPandas(hashed, f"doc_id {kind}, root long, tiles int, hashes array<long>")
-    sets = materialize(sets.withColumn("own", tiled("tiles")), "shingle_sets")
-    rated = materialize(_with_leaders(sets, similarity), "rated_sets")
-    stars = rated.where(F.size("ids") > 0).select("doc_id", "ids")
-    links_of = stars.select(F.get("ids", F.lit(0)).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    between = stars.select("ids").distinct().select(F.get("ids", F.lit(0)).alias("a"), F.explode("ids").alias("b")).where("a <> b")
-
-    count = lambda c: F.ceil(F.count_if(c) / TEXT_TILE).cast("int")
-    tiles = rated.groupBy("root").agg(count(~F.col("main")).alias("t_rest"), count(F.col("near")).alias("t_near"), count(F.col("main")).alias("t_main"))
-    tiles = materialize(tiles, "rest_tiles")
-    each = rated.drop("ids").join(tiles, "root")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    rest = each.where(~F.col("main")).withColumn("own", tiled("t_rest")).withColumn("other", every("t_rest"))
-    rest = rest.select("root", F.lit(0).alias("side_of"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "hashes")
-    rest = rest.withColumn("right", F.col("own") == F.col("q")).drop("own")
-    near = each.where("near and t_main > 0").withColumn("p", tiled("t_near")).withColumn("q", every("t_main")).withColumn("right", F.lit(False))
-    inside = each.where("main and t_near > 0").withColumn("q", tiled("t_main")).withColumn("p", every("t_near")).withColumn("right", F.lit(True))
-    columns = ["root", "side_of", "p", "q", "right", "doc_id", "hashes"]
-    across = [x.withColumn("side_of", F.lit(1)).select(columns) for x in (near, inside)]
-    member = rest.select(columns).unionByName(across[0]).unionByName(across[1])
-
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x) for x in tile["hashes"]]
-        size = np.array([len(x) for x in sets], dtype=np.float64)
-        shared = _tile_overlaps(sets).astype(np.float64)
-        union = size[:, None] + size[None, :] - shared
-        close = np.triu((shared >= similarity * union) & (union > 0), 1)
-        if tile["side_of"].iloc[0] or tile["p"].iloc[0] != tile["q"].iloc[0]:
-            right = tile["right"].to_numpy(bool)
-            close &= right[:, None] != right[None, :]
-        ids = tile["doc_id"].tolist()
-        pairs = [(ids[u], ids[v]) for u, v in _forest(len(ids), *np.nonzero(close))]
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    found = member.groupBy("root", "side_of", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
-    return found.unionByName(links_of).unionByName(between)
-
-
-#: Texts whose shingles are counted to tell common shingles from rare ones, the least count there of a common one, and
-#: how many common ones are kept. They decide the cost of the candidates, never which pairs are found.
-COUNTED, COMMON, MOST_COMMON = 16384, 3, 1 << 18
-#: Candidates that a list of texts gives as pairs, for each of its texts; with more they are a group of :func:`similar_links`.
-LIST = 16
-#: Longer lists are a group without a look at their pairs.
-LONG_LIST = 2048
-
-
-def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order."""
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    width = min(shingle, len(words)) or 1
-    return np.unique(np.array([digest(x, 7) for x in map(join, zip(*(words[j:] for j in range(width))))], dtype=np.uint64)).view(np.int64)
-
-
-def _common_shingles(texts: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, in order, and how often they occur in a sample of about ``COUNTED`` texts."""
-    n = texts.count()
-    if n > COUNTED:
-        texts = texts.where(F.pmod(F.xxhash64(F.lit("count"), "doc_id"), F.lit(1 << 30)) < int(COUNTED / n * (1 << 30)))
-
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                sets = [_shingle_set(x, shingle) for x in batch[text].iloc[at : at + 512]]
-                yield pd.DataFrame({"h": np.concatenate(sets)})
-
-    counts = texts.select(text).mapInPandas(exploded, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-
-
-def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float, text: str) -> DataFrame:
-    """``(h, doc_id, size, at)``: the rarest shingles of each text, as many as two similar texts must share one of.
+def _described(docs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """``(doc_id, v, fp, words)``: the vertex of each text's sequence of lower-cased words, its fingerprint and length."""
 
-    All texts order their shingles alike (by count among the common ones, then by hash). Of two sets with a Jaccard
-    similarity ``t``, each of the size ``n`` shares ``ceil(t n)`` or more, so one shared is among its first
-    ``n - ceil(t n) + 1``, and the first one shared is in that prefix of both.
-    """
-    table = texts.sparkSession.sparkContext.broadcast(common)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, counts = table.value
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part, ids, out = batch.iloc[lo : lo + 512], [], []
-                for name, body in zip(part["doc_id"], part[text]):
-                    hashes = _shingle_set(body, shingle)
-                    n = len(hashes)
-                    if not n:
-                        continue
-                    often = np.zeros(n, dtype=np.int64)
-                    if len(common):
-                        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                        often = np.where(common[place] == hashes, counts[place], 0)
-                    first = hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-                    ids += [name] * len(first)
-                    out.append(np.stack([first, np.full(len(first), n), np.arange(len(first))], axis=1))
-                if out:
-                    h, size, at = np.concatenate(out).T
-                    yield pd.DataFrame({"h": h, "doc_id": ids, "size": size.astype(np.int32), "at": at.astype(np.int32)})
-
-    return texts.mapInPandas(run, f"h long, doc_id {kind}, size int, at int")
-
-
-def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b, many)``: pairs of texts that share a shingle of their prefixes and whose sizes and places allow the
-    similarity. Where they are more than ``LIST`` for each text, a spanning forest of them instead, with ``many``."""
-    kind = prefixes.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Lists come sorted, so each is a run of rows; the last run of a batch waits for the next batch."""
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            h = batch["h"].to_numpy(np.int64)
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            rest = batch.iloc[start[-1] :]
-            yield from found(batch.iloc[: start[-1]], start)
-        if rest is not None:
-            yield from found(rest, np.array([0, len(rest)]))
-
-    def found(batch: pd.DataFrame, start: np.ndarray) -> Iterator[pd.DataFrame]:
-        if not len(batch):
-            return
-        size, at, ids = batch["size"].to_numpy(np.int64), batch["at"].to_numpy(np.int64), batch["doc_id"].to_numpy()
-
-        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            # The first shingle that two texts share is shared with all that may follow it, and no more.
-            return np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
-
-        def pairs(i: np.ndarray, j: np.ndarray, many: bool) -> pd.DataFrame:
-            less = ids[i] <= ids[j]
-            return pd.DataFrame({"a": np.where(less, ids[i], ids[j]), "b": np.where(less, ids[j], ids[i]), "many": many})
-
-        count = np.diff(start)
-        end = np.repeat(start[1:], count)
-        row = np.flatnonzero(np.repeat(count <= LIST, count))
-        for shift in range(1, LIST):
-            row = row[row + shift < end[row]]
-            i = row[allowed(row, row + shift)]
-            yield pairs(i, i + shift, False)
-        for lo, hi in zip(start[:-1][count > LIST].tolist(), start[1:][count > LIST].tolist()):
-            if hi - lo > LONG_LIST:
-                yield pairs(np.full(hi - lo - 1, lo), np.arange(lo + 1, hi), True)
-                continue
-            row = np.arange(lo, hi)
-            i, j = np.nonzero(np.triu(allowed(row[:, None], row[None, :]), 1))
-            many = len(i) > LIST * len(row)
-            if many:
-                i, j = np.array(list(_forest(len(row), i, j))).T
-            yield pairs(lo + i, lo + j, many)
-
-    lists = prefixes.repartition("h").sortWithinPartitions("h").mapInPandas(run, f"a {kind}, b {kind}, many boolean")
-    return lists.where("a <> b").distinct()
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, text: str) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sets of shingles have the similarity."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": pd.Series([_shingle_set(x, shingle) for x in part[text]], dtype=object, index=part.index)})
-
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts.join(needed, "doc_id", "left_semi").mapInPandas(hashed, f"doc_id {kind}, hashes array<long>")
-    sets = materialize(sets, "pair_sets")
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "hashes": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(alike, f"a {kind}, b {kind}")
-
-
-def all_similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", ids: DataFrame | None = None) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of all pairs of texts whose sets of shingles have at least that
-    Jaccard similarity; no pair is missed. ``ids(doc_id)`` names the texts, by default all.
-
-    Candidates share one of the rarest shingles of both (:func:`_prefixes`). Few of a shingle are compared as pairs; many
-    are joined where they have texts in common and compared as groups.
-    """
-    docs = docs.select("doc_id", text)
-    texts = docs if ids is None else docs.join(ids, "doc_id", "left_semi")
-    prefixes = _prefixes(texts, _common_shingles(docs, shingle, text), shingle, similarity, text)
-    found = materialize(_candidates(prefixes, similarity), "similar_candidates")
-    groups = connected_components(found.where("many").select(F.col("a").cast("long"), F.col("b").cast("long")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    groups = groups.select(F.col("id").cast(kind).alias("doc_id"), F.col("component").alias("root"))
-    pairs = _verified(docs, found.where("not many").select("a", "b"), shingle, similarity, text)
-    return similar_links(docs, groups, shingle, similarity, text).unionByName(pairs)
-
-
-def _word_digests(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc_id, words)``: a digest of 128 bits of each text's sequence of lower-cased words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = (x.encode("utf-8", "surrogatepass").lower().split() if x else () for x in batch[text])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "words": [xxhash.xxh3_128_digest(b" ".join(x)) for x in words]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            words = [words_of(x) for x in texts]
+            columns = [np.array([word_key(x) for x in words], np.int64), _fingerprints(texts, shingle).view(np.int64), np.array([len(x) for x in words], np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "v", "fp", "words"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInPandas(run, f"doc_id {kind}, words binary")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, v long, fp long, words long")
 
 
-def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+def near_duplicates_by_similarity(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 2, text: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` where documents link as copies or by verified similarity.
 
     Documents of the same words link, and beyond them all pairs whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` or more (:func:`all_similar_links`). Null ids take no part in the second kind. Near or
-    equal fingerprints alone link nothing here: a line that texts repeat can decide the fingerprints of unlike texts.
+    similarity of ``similarity`` or more. The links of fingerprints of such shingles within ``max_bits`` are the first
+    candidates, and :mod:`shingle_links` adds all that they miss. Every candidate is verified: a line that texts repeat
+    can decide the fingerprints of unlike texts. ``component_id`` is the smallest id reachable, itself included. A null
+    id takes part as a copy alone and names nothing (a component of null ids alone has a null name). Rows stay as they
+    are, repeated ones too; ids may be of any type that orders.
     """
-    prints = materialize(_word_digests(docs, text), "prints")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(_described(docs, shingle, text), "described")
     # Copies are one vertex: the smallest id of each sequence of words stands for its rows.
-    heads = materialize(prints.where("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("head")), "heads")
-    ids = materialize(heads.select(F.col("head").alias("doc_id")), "head_ids")
-    edges = all_similar_links(docs, shingle, similarity, text, ids)
-    merged = connected_components(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
-    out = prints.join(heads, "words", "left").join(merged.withColumnRenamed("id", "head"), "head", "left")
-    return out.select("doc_id", F.coalesce("component", "head").alias("component_id"))
+    heads = prints.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("head"), F.min("fp").alias("fp"), F.min("words").alias("words"))
+    heads = scratch.write(heads, "heads")
+    of_print = scratch.write(heads.where("words > 0").groupBy("fp").agg(F.min("v").alias("a")), "of_print")
+    equal = heads.join(of_print, "fp").where("v <> a").select("a", F.col("v").alias("b"))
+    near = links(of_print.select("fp"), max_bits).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(of_print.withColumnsRenamed({"fp": "x"}), "x").join(of_print.withColumnsRenamed({"fp": "y", "a": "b"}), "y").select("a", "b")
+    first = scratch.write(equal.unionByName(near), "near_prints")
+    edges, used = similar_links(docs, heads, first, shingle, similarity, text)
+    ends = [heads.select(F.col("v").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
+    edges = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    merged = connected_components(edges).withColumnRenamed("id", "head")
+    used.drop()
+    out = prints.join(heads.select("v", "head"), "v", "left").join(merged, "head", "left")
+    out = materialize(out.select("doc_id", F.coalesce("component", "head").alias("component_id")), "by_similarity")
+    scratch.drop()
+    return out
 
 
 def deduplicate(docs: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -573,18 +301,20 @@ def deduplicate(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     names the component.
 
     All columns of ``docs`` stay. Rows that repeat the id of a document that stays are that document again, and one of
-    them is kept. Of documents with a null id, one stays for each text.
+    them is kept. Of documents with a null id, one stays for each text. An empty table stays empty.
     """
-    placed = materialize(near_duplicates_by_similarity(docs, text=text, **how), "placed")
-    kept = placed.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    placed = near_duplicates_by_similarity(docs, text=text, **how)
+    stays = F.col("doc_id") == F.col("component_id")
     n = placed.agg(
-        F.count_if(F.col("doc_id") == F.col("component_id")).alias("kept"),
-        F.count_distinct(F.when(F.col("doc_id") == F.col("component_id"), F.col("doc_id"))).alias("ids"),
+        F.count_if(stays).alias("kept"),
+        F.count_distinct(F.when(stays, F.col("doc_id"))).alias("ids"),
         F.count_if(F.col("doc_id").isNull()).alias("nulls"),
     ).first()
-    out = docs.join(kept, "doc_id", "left_semi")
+    named = placed.where("doc_id is not null").groupBy("doc_id").agg(F.max(stays).alias("stays"))
+    # Texts are not shuffled unless very many go: the ids that go are fewer than those that stay.
+    out = docs.where("doc_id is not null").join(_small(named.where("not stays").select("doc_id")), "doc_id", "left_anti")
     if n["kept"] > n["ids"]:
         out = out.dropDuplicates(["doc_id"])
     if n["nulls"]:
         out = out.unionByName(docs.where("doc_id is null").dropDuplicates([text]))
-    return out
+    return out.select(*docs.columns)
