@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import text as T
-from ..operators import chunk
+from ..operators import chunk, link
 from ..sources import files as files_source
 from .common import Query, table
 
@@ -172,6 +172,35 @@ QUERIES["evidence_extract"] = (
 )
 
 
+_SNIPPET = """CASE p_partkey % 14
+    WHEN 0 THEN concat('@RequestMapping(value = "/parts/', k, '")') WHEN 1 THEN concat('@GetMapping("/brands/', k, '")')
+    WHEN 2 THEN concat('@app.post( "/sizes/', k, '")') WHEN 3 THEN concat('@router.delete("', k, '/gone")')
+    WHEN 4 THEN concat('restTemplate.exchange(base, "/parts/', k, '")') WHEN 5 THEN concat('requests.get("https://host.example/brands/', k, '?page=1")')
+    WHEN 6 THEN concat('await fetch("/sizes/', k, '")') WHEN 7 THEN concat('bus.publish("part.', k, '.made")') WHEN 8 THEN concat('SUBJECT = "part.', k, '"')
+    WHEN 9 THEN concat('bus.pullSubscribe("part.', k, '.made")') WHEN 10 THEN concat('@JetStreamListener(durable = "d", subject = "part.', k, '")')
+    WHEN 11 THEN concat('@Document(collection = "parts_', k, '")') WHEN 12 THEN concat('getCollection("parts_', k, '")') ELSE concat('db.parts_', k, '.find({})') END"""
+_CODE = f"SELECT p_brand AS repo, {_SNIPPET} AS text FROM (SELECT p_partkey, p_brand, CAST(p_partkey % 97 AS VARCHAR(9)) AS k FROM part)"
+
+
+def evidence_patterns(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("part_of_evidence")
+    return link.scan(spark.sql(_CODE.replace("FROM part)", "FROM part_of_evidence)")))
+
+
+def _evidence_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT repo, '{channel}' AS channel, trim(unnest(regexp_extract_all(text, {quoted(p)}, 1))) AS raw FROM code" for channel, patterns in E.PATTERNS.items() for p in patterns)
+    return f"""WITH code AS ({_CODE}), found AS ({found}),
+      bare AS (SELECT *, regexp_extract(raw, '^https?://[^/?#]*([^?#]*)', 1) AS inner_path FROM found),
+      plain AS (SELECT *, CASE WHEN regexp_matches(raw, '^https?://') AND inner_path <> '' THEN inner_path ELSE raw END AS path FROM bare),
+      slashed AS (SELECT *, CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END AS full_path FROM plain)
+    SELECT DISTINCT repo, channel, CASE WHEN channel LIKE 'http%' THEN full_path ELSE raw END AS token FROM slashed
+    WHERE CASE WHEN channel LIKE 'http%' THEN length(full_path) BETWEEN 2 AND 199 ELSE raw <> '' END"""
+
+
+QUERIES["evidence_patterns"] = (evidence_patterns, _evidence_sql())
+
+
 def truncate_head_tail(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.sha2(T.truncate_middle(F.col("text"), 1000, "\n...\n"), 256).alias("sha"))
