@@ -71,11 +71,9 @@ def apply_changes(store: Store, repo: str, files: DataFrame, removed: DataFrame)
     for table in ("file", "symbol", "chunk", "import_edge", "call_edge", "merkle_files"):
         old = store.read(table)
         if table == "call_edge":
-            keep = old.withColumn("_f", F.element_at(F.split("caller", "::"), 1)).join(touched.withColumnRenamed("path", "_f"), "_f", "left_anti").drop("_f")
-            gone = removed.select(F.col("path").alias("_f"))
-            keep = keep.withColumn("_f", F.element_at(F.split("callee", "::"), 1)).join(gone, "_f", "left_anti").drop("_f")
+            keep = _edges_kept(old, repo, touched, new["symbol"])
         else:
-            other = old.where(F.col("repo") != repo)
+            other = old.where(~F.col("repo").eqNullSafe(repo))
             mine = old.where(F.col("repo") == repo).join(touched.withColumnRenamed("path", parent[table]), parent[table], "left_anti")
             keep = other.unionByName(mine)
         rows = new[table]
@@ -90,6 +88,19 @@ def apply_changes(store: Store, repo: str, files: DataFrame, removed: DataFrame)
     return counts
 
 
+def _edges_kept(old: DataFrame, repo: str, touched: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Call edges that a change leaves: those of other projects, and of this one those whose caller's file is not
+    touched and whose callee's file is not touched either or still has that symbol."""
+    mine = F.col("repo").eqNullSafe(repo)
+    paths = touched.select(F.col("path").alias("_f"))
+    stay = old.where(mine).withColumn("_f", F.element_at(F.split("caller", "::"), 1)).join(paths, "_f", "left_anti")
+    stay = stay.withColumn("_f", F.element_at(F.split("callee", "::"), 1))
+    known = parsed.where(mine).select(F.col("fqname").alias("callee")).distinct()
+    there = stay.join(paths, "_f", "left_semi").join(known, "callee", "left_semi")
+    kept = stay.join(paths, "_f", "left_anti").select(*old.columns).unionByName(there.select(*old.columns))
+    return old.where(~mine).unionByName(kept)
+
+
 def ingest(store: Store, repo: str, root: str, force: bool = False) -> dict:
     """Bring a tree's tables up to date. Nothing is done when its digest is unchanged; else only files whose hash
     changed are parsed again."""
@@ -122,10 +133,14 @@ def _ingest(store: Store, repo: str, found: DataFrame, force: bool) -> dict:
 
 
 def stream_upserts(source: DataFrame, store: Store, table: str, checkpoint: str, key: list[str], order: str, once: bool = True, every: str = "10 seconds") -> StreamingQuery:
-    """Keep a table at the newest row of each key of a stream. Within a batch the newest by ``order`` wins."""
+    """Keep a table at the newest row of each key of a stream by ``order``, within a batch and across batches: a late
+    row changes nothing. A row with the stored row's ``order`` replaces it, so a repeated batch gives the same table."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        store.upsert(table, delta.last_write(rows, key, [F.col(order)]))
+        newest = delta.last_write(rows, key, [F.col(order)])
+        stored = store.read(table).select(*key, F.col(order).alias("_stored"))
+        newest = newest.join(stored, key, "left").where(F.col("_stored").isNull() | (F.col(order) >= F.col("_stored")))
+        store.upsert(table, newest.drop("_stored"))
 
     writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

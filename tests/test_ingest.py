@@ -134,6 +134,32 @@ def test_stream_upserts(spark, tmp_path):
     assert {r["repo"]: r["ok"] for r in journal.collect()} == {"ok": True, "bad": False}
 
 
+def test_edges_of_other_projects_and_of_symbols_that_vanish(spark, tmp_path):
+    """Two projects with the same paths; then a symbol goes from a file that another one calls."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    for name in ("one", "two"):
+        root = tmp_path / name
+        root.mkdir()
+        (root / "util.py").write_text("def clean(v):\n    return v\n\ndef other(v):\n    return v\n")
+        (root / "core.py").write_text("from util import clean\n\ndef main():\n    clean(1)\n")
+        ingest.ingest(store, name, str(root))
+    edges = lambda: {(r["repo"], r["caller"], r["callee"]) for r in store.read("call_edge").collect()}
+    assert edges() == {(x, "core.py::main", "util.py::clean") for x in ("one", "two")}
+    (tmp_path / "two" / "util.py").write_text("def other(v):\n    return v + 1\n")
+    ingest.ingest(store, "two", str(tmp_path / "two"))
+    assert edges() == {("one", "core.py::main", "util.py::clean")}
+
+
+def test_a_late_row_changes_nothing(spark, tmp_path):
+    store, src = Store(spark, f"file://{tmp_path}/store"), str(tmp_path / "in")
+    kind = "repo string, head_sha string, branch string, last_seen timestamp"
+    for sha, at in (("new", 9), ("late", 1), ("newer", 10)):
+        rows = spark.createDataFrame([("a", sha, "main", at)], "repo string, head_sha string, branch string, s int")
+        rows.withColumn("last_seen", F.timestamp_seconds("s")).drop("s").write.mode("append").parquet(src)
+        ingest.stream_upserts(spark.readStream.schema(kind).parquet(src), store, "git_state", str(tmp_path / "cp"), ["repo"], "last_seen").awaitTermination()
+        assert store.read("git_state").first()["head_sha"] == ("newer" if at == 10 else "new")
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.yaml"
     f.write_text("project:\n  name: here\n  chunk_size: '70'\n  interval_s: nope\n")
