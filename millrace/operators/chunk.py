@@ -10,6 +10,7 @@ from ..functions import text as T
 CODE_SIZE, CODE_OVERLAP = 50, 10
 DOC_SIZE, DOC_OVERLAP, SECTION_LINES = 60, 10, 120
 CODE_BYTES, DOC_BYTES = 64 << 10, 256 << 10
+UNDERLINE = r'^\s*[=\-~^*"]{3,}\s*$'
 
 
 def eligible(path: Column, content: Column, parse_error: Column) -> Column:
@@ -42,23 +43,24 @@ def doc_sections(df: DataFrame, key: list[str], text: str = "text") -> DataFrame
     A heading begins with ``#`` (not ``#!``) or stands over a line of three or more underline signs. Lines before the
     first heading belong to no section. A text without headings is one section without a heading.
     """
-    rows = df.select(*key, T.lines(F.col(text)).alias("_lines"))
-    at = rows.select(*key, F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_i", "_line"))
+    rows = df.select(*key, T.lines(F.col(text)).alias("_lines")).where(F.size("_lines") > 0)
+    n, line, under = F.size("_lines").alias("_n"), F.col("_p._lines"), F.col("_p._under")
+    at = rows.select(*key, n, F.posexplode(F.arrays_zip("_lines", F.slice("_lines", 2, F.size("_lines")).alias("_under"))).alias("_i", "_p"))
+    hashed = F.ltrim(line).startswith("#") & ~F.ltrim(line).startswith("#!")
+    ruled = F.coalesce(under.rlike(UNDERLINE), F.lit(False)) & (F.trim(line) != "") & ~line.rlike(UNDERLINE)
+    heads = at.where(hashed | ruled).select(*key, "_n", "_i", F.trim(line).alias("heading"))
+    # A row before the first line of each document: the documents that have no other are one section.
+    marks = heads.unionByName(rows.select(*key, n, F.lit(-1).alias("_i"), F.lit("").alias("heading")))
     w = Window.partitionBy(*key).orderBy("_i")
-    under = F.lead("_line").over(w)
-    hashed = F.ltrim("_line").startswith("#") & ~F.ltrim("_line").startswith("#!")
-    ruled = F.coalesce(under.rlike(r'^\s*[=\-~^*"]{3,}\s*$'), F.lit(False)) & (F.trim("_line") != "") & ~F.col("_line").rlike(r'^\s*[=\-~^*"]{3,}\s*$')
-    heads = at.withColumn("_head", hashed | ruled).where("_head")
-    section = heads.select(
+    follow = F.lead("_i").over(w)
+    found = marks.select(*key, "_n", "_i", "heading", (F.row_number().over(w) - 2).alias("_s"), follow.alias("_next")).where("_i >= 0 or _next is null")
+    return found.select(
         *key,
-        (F.row_number().over(w) - 1).alias("section"),
-        F.trim("_line").alias("heading"),
-        (F.col("_i") + 1).alias("line_start"),
-        F.coalesce(F.lead("_i").over(w), F.col("_n")).cast("int").alias("line_end"),
+        F.greatest("_s", F.lit(0)).alias("section"),
+        "heading",
+        (F.greatest("_i", F.lit(0)) + 1).alias("line_start"),
+        F.coalesce("_next", F.col("_n")).cast("int").alias("line_end"),
     )
-    none = rows.where(F.size("_lines") > 0).join(heads.select(*key).distinct(), key, "left_anti")
-    whole = none.select(*key, F.lit(0).alias("section"), F.lit("").alias("heading"), F.lit(1).alias("line_start"), F.size("_lines").alias("line_end"))
-    return section.unionByName(whole)
 
 
 def chunk_docs(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:

@@ -40,26 +40,25 @@ def first_enclosing(points: DataFrame, intervals: DataFrame, on: list[str], at:
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Callees of ``calls(call_id, file, caller, name)``: ``(call_id, caller, callee, confidence)``.
+    """Callees of ``calls(call_id, file, caller, name)``, one row a call: ``(call_id, caller, callee, confidence)``.
 
     Three tiers, the first with a candidate other than the caller wins: the last definition of the name in the same
     file (1.0), the last one in the first imported file that has it (0.7), the first one anywhere (0.4).
-    ``symbols(file, name, fqname, ord)`` carry their walk order; ``imports(file, target, pos)`` theirs. Definitions are
-    reduced to one for each name and file before any join, so a common name brings one candidate for each tier.
+    ``symbols(file, name, fqname, ord)`` carry their walk order; ``imports(file, target, pos)`` theirs.
+
+    A caller rules out one candidate of a tier at most, so a name needs two from the imports of a file and one from
+    the other tiers. These are looked up for each file and name before the calls, the largest table, are joined.
     """
     by_file = symbols.groupBy("file", "name").agg(F.max_by("fqname", "ord").alias("callee"))
-    anywhere = symbols.groupBy("name").agg(F.min_by("fqname", "ord").alias("callee"))
-    same = calls.join(by_file, ["file", "name"]).select("call_id", "caller", "callee", F.lit(1).alias("tier"), F.lit(0).alias("pos"))
-    away = (
-        calls.join(imports, "file")
-        .join(by_file.withColumnRenamed("file", "target"), ["target", "name"])
-        .select("call_id", "caller", "callee", F.lit(2).alias("tier"), "pos")
-    )
-    loose = calls.join(anywhere, "name").select("call_id", "caller", "callee", F.lit(3).alias("tier"), F.lit(0).alias("pos"))
-    found = same.unionByName(away).unionByName(loose).where("caller <> callee")
-    best = found.groupBy("call_id").agg(F.min(F.struct("tier", "pos", "callee", "caller")).alias("b"))
-    confidence = F.element_at(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.4)), F.col("b.tier"))
-    return best.select("call_id", F.col("b.caller").alias("caller"), F.col("b.callee").alias("callee"), confidence.alias("confidence"))
+    anywhere = symbols.groupBy("name").agg(F.min_by("fqname", "ord").alias("loose"))
+    away = imports.join(by_file.withColumnRenamed("file", "target"), "target").groupBy("file", "name", "callee").agg(F.min("pos").alias("pos"))
+    away = away.withColumn("nth", F.row_number().over(Window.partitionBy("file", "name").orderBy("pos", "callee"))).where("nth <= 2")
+    near = by_file.select("file", "name", "callee", F.lit(0).alias("nth")).unionByName(away.select("file", "name", "callee", "nth"))
+    near = near.groupBy("file", "name").agg(*(F.max(F.when(F.col("nth") == n, F.col("callee"))).alias(c) for n, c in enumerate(("same", "first", "second"))))
+    found = calls.join(near, ["file", "name"], "left").join(anywhere, "name", "left")
+    tiers = (("same", 1.0), ("first", 0.7), ("second", 0.7), ("loose", 0.4))
+    best = F.coalesce(*(F.when(F.col(c) != F.col("caller"), F.struct(F.col(c).alias("callee"), F.lit(sure).alias("confidence"))) for c, sure in tiers))
+    return found.select("call_id", "caller", best.alias("b")).where("b is not null").select("call_id", "caller", "b.callee", "b.confidence")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

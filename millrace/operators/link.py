@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
@@ -41,7 +41,10 @@ def shared_edges(sets: DataFrame, via: str = "shared_collection") -> DataFrame:
 
 
 def _edges(pairs: DataFrame, via: str) -> DataFrame:
-    grouped = pairs.groupBy("src", "dst").agg(F.slice(F.array_sort(F.collect_set("token")), 1, MOST_EVIDENCE).alias("evidence"), F.count(F.lit(1)).cast("long").alias("n"))
+    # Numbered in a sort that spills: of a pair with many shared tokens only the first few are gathered.
+    numbered = pairs.select("src", "dst", "token", F.row_number().over(Window.partitionBy("src", "dst").orderBy("token")).alias("_r"))
+    first = F.collect_list(F.when(F.col("_r") <= MOST_EVIDENCE, F.col("token")))
+    grouped = numbered.groupBy("src", "dst").agg(F.array_sort(first).alias("evidence"), F.max("_r").cast("long").alias("n"))
     return grouped.withColumn("via", F.lit(via))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +28,73 @@ def vector_topk(vectors: DataFrame, query: Column, k: int, where: Column | None
     return top.where(where) if where is not None and post_filter else top
 
 
+def _units(vectors: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors as rows; those of another width, zero, null or with a component that is no finite number are NaN."""
+    out = np.full((len(vectors), width), np.nan)
+    right = [i for i, n in enumerate(vectors.value_lengths().to_pylist()) if n == width]
+    if right and width:
+        flat = vectors.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False)
+        x = np.asarray(flat, dtype=np.float64).reshape(-1, width)
+        with np.errstate(all="ignore"):
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out[right] = np.where(np.isfinite(x).all(axis=1, keepdims=True), x, np.nan)
+    return out
+
+
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
-    """Top k for each row of ``queries(query_id, query_vec)``, in blocks of about ``QUERY_BLOCK`` that go to every task.
+    """Top k for each row of ``queries(query_id, query_vec)``: ``(query_id, id, score, rank)``, ties by id.
 
-    ``within`` names a column that must be equal on both sides. Each task ranks its own rows first, so a query shuffles
-    at most k rows from each.
+    ``within`` names a column that must be equal on both sides. Queries go to the tasks in blocks of about
+    ``QUERY_BLOCK``; a task multiplies a batch of vectors with a block and passes on each query's best k of the batch,
+    so that a query shuffles at most k rows of each. Vectors that are null, zero, of another length or not finite have
+    no score.
     """
     q = queries.select("query_id", "query_vec", *([F.col(within).alias("_q")] if within else []))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    on = F.col(within) == F.col("_q") if within else F.lit(True)
+    rows = vectors.select(id, vector, *([F.col(within).alias("_q")] if within else []))
+    fields = [f"query_id {q.schema['query_id'].dataType.simpleString()}", f"`{id}` {rows.schema[id].dataType.simpleString()}", "score double"]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id))
     out = None
     for block in range(blocks):
-        rows = vectors.join(F.broadcast(q.where(F.col("_block") == block)), on).withColumn("score", F.round(V.cosine(F.col(vector), F.col("query_vec")), 6))
-        top = rows.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", id, "score", "rank")
-        out = top if out is None else out.unionByName(top)
-    return out
+        part = q.where(F.col("_block") == block).toArrow().combine_chunks()
+        if part.num_rows:
+            top = rows.mapInArrow(_best_of(rows.sparkSession.sparkContext.broadcast(part), k), ", ".join(fields))
+            out = top if out is None else out.unionByName(top)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], ", ".join(fields))
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best_of(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best ``k`` rows of each batch for every query of a broadcast block."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.Table.from_batches(block.value.to_batches()).combine_chunks()
+        ids, given = asked.column("query_id").combine_chunks(), asked.column("query_vec").combine_chunks()
+        label = asked.column("_q").to_pylist() if "_q" in asked.column_names else None
+        lengths = np.array([n or 0 for n in given.value_lengths().to_pylist()])
+        widths = [(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths[lengths > 0]).tolist()]
+        units = {n: _units(given.take(pa.array(at)), n) for n, at in widths}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                some = batch.slice(start, 1000)
+                mine = some.column(2).to_pylist() if label is not None else None
+                for width, at in widths:
+                    score = np.round(_units(some.column(1), width) @ units[width].T, 6)
+                    score[np.isnan(score)] = -np.inf
+                    if label is not None:
+                        code = {x: c for c, x in enumerate({*mine, *(label[j] for j in at)} - {None})}
+                        rows, cols = np.array([code.get(x, -1) for x in mine]), np.array([code.get(label[j], -2) for j in at])
+                        score[rows[:, None] != cols[None, :]] = -np.inf
+                    if len(score) > k:
+                        least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
+                        i, j = np.nonzero((score >= least) & (score > -np.inf))  # ties with the last one stay
+                    else:
+                        i, j = np.nonzero(score > -np.inf)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[j])), some.column(0).take(pa.array(i)), pa.array(score[i, j])], names=["query_id", some.schema.names[0], "score"])
+
+    return best
 
 
 def best_per_file(hits: DataFrame, file: str, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -50,10 +102,14 @@ def best_per_file(hits: DataFrame, file: str, score: str = "score", rank: str =
     return hits.groupBy(file).agg(F.max(score).alias("score"), F.min(rank).alias("rank"))
 
 
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
+
+
 def postings(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``(id, term, tf)`` and ``(id, dl)`` of lower-cased words; one pass each, combined before the shuffle."""
-    words = docs.select(id, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")).alias("term"))
-    sizes = docs.select(id, F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")).alias("dl"))
+    words = docs.select(id, F.explode(_words(text)).alias("term"))
+    sizes = docs.select(id, F.size(_words(text)).alias("dl"))
     return words.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf")), sizes
 
 
@@ -63,9 +119,8 @@ def bm25(docs: DataFrame, terms: list[str], k: int, id: str = "doc_id", text: st
     Only postings of the asked terms are built: the terms are counted inside each text, so a query reads the table
     once and shuffles a row for each term, not for each word.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    base = docs.select(id, words.alias("_w"))
-    tf = [F.size(F.filter("_w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    base = docs.select(id, _words(text).alias("_w"))
+    tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = base.select(id, F.size("_w").alias("dl"), *tf)
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
@@ -78,8 +133,15 @@ def bm25(docs: DataFrame, terms: list[str], k: int, id: str = "doc_id", text: st
     return rows.select(id, F.round(total, 6).alias("score")).orderBy(F.desc("score"), F.asc(id)).limit(k)
 
 
-def _equals(word: str) -> Callable[[Column], Column]:
-    return lambda x: x == word
+def fulltext_symbols(symbols: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """``(fqname, file_path, score, rank)``: the ``k`` symbols whose name, signature, first line of documentation or
+    summary match ``terms`` best. Names count whole and by their parts."""
+    name = T.terminal_name(F.col("fqname"))
+    have = [F.col(c) for c in ("signature", "doc_first_line", "summary") if c in symbols.columns]
+    said = F.concat_ws(" ", "fqname", F.regexp_replace(name, f"{T.CAMEL_EDGE}|_", " "), *have)
+    keyed = symbols.select(F.struct("fqname", "file_path").alias("_key"), said.alias("_said"))
+    hits = bm25(keyed, terms, k, id="_key", text="_said").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("_key"))))
+    return hits.select("_key.fqname", "_key.file_path", "score", "rank")
 
 
 def ranked(df: DataFrame, id: str, list_no: int, score: str = "score") -> DataFrame:
@@ -148,3 +210,18 @@ def query_terms(text: str) -> list[str]:
             if len(word.strip()) >= T.MIN_TOKEN:
                 out.setdefault(word.strip().lower(), word.strip())
     return list(out.values())
+
+
+def decorate(rows: DataFrame, scores: DataFrame, on: str, score: str = "score") -> DataFrame:
+    """Rows with their ``score`` from ``scores(on, score)``, zero where there is none."""
+    return rows.join(scores.select(on, F.col(score).alias("score")), on, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def place_score(rank: Column) -> Column:
+    """The score of the place in a list, from 1: its reciprocal."""
+    return F.round(1.0 / rank, 4)
+
+
+def known_only(named: DataFrame, known: DataFrame, on: str) -> DataFrame:
+    """Rows whose name is known; made-up names go."""
+    return named.join(known.select(on), on, "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import delta, graph, link
+from ..operators import delta, graph, link, search
 from ..sources import files as files_source
 from .common import Query, table
 
@@ -90,7 +90,7 @@ def tiered_resolution(spark, sf):
     callers = part.select("p_partkey", F.col("p_brand").alias("file"), fq.alias("caller"))
     names = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
     calls = item.join(callers, F.col("l_partkey") == F.col("p_partkey")).join(names, F.col("l_suppkey") == F.col("k"))
-    calls = calls.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), "file", "caller", "name")
+    calls = calls.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), "file", "caller", "name").dropDuplicates(["call_id"])
     return graph.resolve_calls(calls, symbols, imports)
 
 
@@ -412,7 +412,7 @@ QUERIES["tick_timeouts"] = (tick_timeouts, "SELECT l_suppkey, least(1300, greate
 def candidate_whitelist(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id")
     known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"))
-    return e.join(known, "user_id", "left_semi").select("event_id", "user_id")
+    return search.known_only(e, known, "user_id").select("event_id", "user_id")
 
 
 QUERIES["candidate_whitelist"] = (candidate_whitelist, "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier)")
@@ -421,7 +421,7 @@ QUERIES["candidate_whitelist"] = (candidate_whitelist, "SELECT event_id, user_id
 def score_decorate(spark, sf):
     score = table(spark, sf, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("value").alias("score"))
     c = table(spark, sf, "customer")
-    return c.join(score, "c_custkey", "left").select("c_custkey", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return search.decorate(c.select("c_custkey"), score, "c_custkey")
 
 
 QUERIES["score_decorate"] = (

@@ -142,7 +142,9 @@ def hybrid_retrieval(spark, sf):
     """The flagship: vector and full-text rankings fused with a prior, the best twenty hydrated."""
     docs = table(spark, sf, "documents")
     lists = _lists(spark, sf)
-    prior = lists.select("doc").distinct().join(docs.where("lang = 'en'"), F.col("doc") == F.col("doc_id"), "left_semi").withColumn("bonus", F.lit(0.002))
+    # At most 120 documents are in the lists: their rows are looked up once, for the prior and for the answer.
+    listed = F.broadcast(lists.select("doc").distinct())
+    prior = docs.where("lang = 'en'").select(F.col("doc_id").alias("doc")).join(listed, "doc", "left_semi").withColumn("bonus", F.lit(0.002))
     top = search.rrf_fuse(lists, prior).where("rank <= 20")
     return docs.join(F.broadcast(top), F.col("doc_id") == F.col("doc")).select("doc_id", "score", F.col("rank").cast("long").alias("rank"), "lang", "source", "n_chars")
 
@@ -286,7 +288,7 @@ QUERIES["token_budget_pack"] = (
 def symbol_score(spark, sf):
     p = table(spark, sf, "part")
     rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return p.select("p_partkey", F.round(1.0 / rank, 4).alias("score"))
+    return p.select("p_partkey", search.place_score(rank).alias("score"))
 
 
 QUERIES["symbol_score"] = (symbol_score, "SELECT p_partkey, round(1.0::DOUBLE / row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey), 4) AS score FROM part")
