@@ -24,12 +24,27 @@ class Graph:
     calls: DataFrame | None = None
     imports: DataFrame | None = None
     services: DataFrame | None = None
+    service_files: DataFrame | None = None
     memory: DataFrame | None = None
     mentions: DataFrame | None = None
     links: DataFrame | None = None
     runbook: str = ""
 
 
+def graph_of(store, repo: str) -> Graph:
+    """The tables of one project of a :class:`~millrace.sources.store.Store`."""
+
+    def of(name: str) -> DataFrame:
+        return store.read(name).where(F.col("repo") == repo)
+
+    about = store.read("repo").where(F.col("name") == repo).select("runbook_md").first()
+    imports = of("import_edge").select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"))
+    return Graph(
+        of("file"), of("chunk"), of("symbol"), of("call_edge"), imports, of("service"), of("service_file"), of("memory"), of("mentions"),
+        store.read("repo_edge"), (about and about["runbook_md"]) or "",
+    )
+
+
 @dataclass
 class Bundle:
     query: str
@@ -78,29 +93,59 @@ class Bundle:
         return self
 
 
-def candidates(graph: Graph, text: str, query_vec: Column | None, k: int = 60, cap: int = search.CANDIDATES) -> DataFrame:
-    """``(doc, rank)`` of files: vector and full-text rankings fused with a path prior, then expanded by one hop."""
+def _terms(graph: Graph, text: str) -> list[str]:
     expanded = graph.files.sparkSession.range(1).select(T.expand_query(F.lit(text))).first()[0]
-    lists = search.ranked(search.bm25(graph.files, [t.lower() for t in search.query_terms(expanded)], k, id="path", text="text"), "path", 2)
-    if graph.chunks is not None and query_vec is not None:
-        hits = search.vector_topk(graph.chunks, query_vec, k, id="id", vector="embed_vec").select("file_path", "score")
-        best = hits.groupBy("file_path").agg(F.max("score").alias("score"))
-        lists = search.ranked(best, "file_path", 1).unionByName(lists)
+    return [t.lower() for t in search.query_terms(expanded)]
+
+
+def file_scores(graph: Graph, query_vec: Column, k: int = 60) -> DataFrame:
+    """``(file_path, score)``: files of the ``k`` most similar chunks with their best cosine."""
+    hits = search.vector_topk(graph.chunks, query_vec, k, id="id", vector="embed_vec").select("file_path", "score")
+    return hits.groupBy("file_path").agg(F.max("score").alias("score"))
+
+
+def _by_text(graph: Graph, terms: list[str], k: int, named: DataFrame | None) -> DataFrame:
+    """``(path, score)`` by full text: of the files' own text, else of the symbols found, else of the chunks."""
+    if "text" in graph.files.columns:
+        return search.bm25(graph.files, terms, k, id="path", text="text")
+    if named is not None:
+        return named.groupBy(F.col("file_path").alias("path")).agg(F.max("score").alias("score"))
+    if graph.chunks is None:
+        raise ValueError("a full-text ranking needs texts of files, symbols or chunks")
+    return search.bm25(graph.chunks, terms, k, id="file_path", text="text").groupBy(F.col("file_path").alias("path")).agg(F.max("score").alias("score"))
+
+
+def candidates(graph: Graph, text: str, query_vec: Column | None, k: int = 60, cap: int = search.CANDIDATES, scorer=None, named: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
+    """``(doc, rank)`` of files: vector and full-text rankings fused with a path prior, the head reranked by ``scorer``
+    if there is one, then expanded by one hop.
+
+    ``named`` are symbols found by full text and ``near`` files by vector, where the caller has them already.
+    """
+    if named is None and graph.symbols is not None and "text" not in graph.files.columns:
+        named = search.fulltext_symbols(graph.symbols, _terms(graph, text), k)
+    lists = search.ranked(_by_text(graph, _terms(graph, text), k, named), "path", 2)
+    if near is None and graph.chunks is not None and query_vec is not None:
+        near = file_scores(graph, query_vec, k)
+    if near is not None:
+        lists = search.ranked(near, "file_path", 1).unionByName(lists)
     prior = lists.select("doc").distinct().withColumn("bonus", T.path_prior(F.lit(text), F.col("doc")))
-    fused = search.rrf_fuse(lists, prior)
+    fused = search.rerank(search.rrf_fuse(lists, prior), scorer)
     if graph.imports is None:
         return fused.where(F.col("rank") <= cap).select("doc", "rank")
     seeds = fused.where(F.col("rank") <= search.EXPAND_FROM).select(F.col("doc").alias("id"))
-    near = search.one_hop(graph.imports, seeds)
-    near = near.select(F.col("id").alias("doc"), F.row_number().over(Window.orderBy("id")).alias("rank"))
-    return search.append_unseen(fused.select("doc", "rank"), near, cap)
+    hop = search.one_hop(graph.imports, seeds)
+    hop = hop.select(F.col("id").alias("doc"), F.row_number().over(Window.orderBy("id")).alias("rank"))
+    return search.append_unseen(fused.select("doc", "rank"), hop, cap)
 
 
-def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str | None = None, token_budget: int = 4000, grounder=None) -> Bundle:
+def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str | None = None, token_budget: int = 4000, grounder=None, scorer=None) -> Bundle:
     """The bundle of a question. Every step that fails is noted in ``errors`` and the others go on.
 
-    ``grounder(text, files, symbols)`` may pick an intent, files and symbols; without it the first five candidates of
-    each are taken. Only the rows of the bundle reach the driver.
+    ``grounder(text, files, symbols)`` may pick an intent, services, files and symbols; without it the first five
+    candidates of each are taken. ``scorer(doc)`` reranks the head of the candidates. Files carry the cosine of their
+    best chunk and symbols the reciprocal of their place as ``score``. Services are those that the grounder names, then
+    those that hold a file of the answer, and only where the project tells no files of services the first ones by name.
+    Only short lists and the rows of the bundle reach the driver.
     """
     out = Bundle(text)
     spark = graph.files.sparkSession
@@ -119,13 +164,27 @@ def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str |
         hit = spark.range(1).select(T.fastpath(F.lit(text)).alias("f")).first()["f"]
         out.fastpath = (hit["kind"], hit["value"]) if hit else None
 
+    picked: dict = {}
+
+    def short(df: DataFrame) -> DataFrame:
+        """At most 60 rows, kept so that the tables below are read once."""
+        return spark.createDataFrame(df.collect(), df.schema)
+
     def ground() -> None:
-        found = [r["doc"] for r in candidates(graph, text, query_vec).orderBy("rank").limit(search.CANDIDATES).collect()]
+        named = near = None
+        if graph.symbols is not None:
+            named = short(search.fulltext_symbols(graph.symbols, _terms(graph, text), 60))
+        if graph.chunks is not None and query_vec is not None:
+            near = short(file_scores(graph, query_vec))
+        ranking = candidates(graph, text, query_vec, scorer=scorer, named=named, near=near)
+        found = [r["doc"] for r in ranking.orderBy("rank").limit(search.CANDIDATES).collect()]
         names = []
-        if graph.symbols is not None and found:
-            at = F.array_position(F.array(*map(F.lit, found)), F.col("file_path"))
-            names = [r["fqname"] for r in graph.symbols.where(F.col("file_path").isin(found[:20])).orderBy(at, "fqname").limit(60).collect()]
-        picked = grounder(text, found, names) if grounder else {}
+        if graph.symbols is not None:
+            at = F.array_position(F.array(*map(F.lit, found[:20])), F.col("file_path")) if found else F.lit(0)
+            inside = graph.symbols.where(F.col("file_path").isin(found[:20])).orderBy(at, "fqname").limit(60)
+            names = [r["fqname"] for r in inside.select("fqname").collect()]
+            names += [r["fqname"] for r in named.orderBy("rank").collect() if r["fqname"] not in set(names)]
+        picked.update(grounder(text, found, names) if grounder else {})
         out.intent = picked.get("intent", "")
         files = [f for f in picked.get("files", []) if f in set(found)] or found[:5]
         symbols = [s for s in picked.get("symbols", []) if s in set(names)] or names[:5]
@@ -133,14 +192,20 @@ def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str |
             files = [out.fastpath[1], *(f for f in files if f != out.fastpath[1])]
         order = {f: i for i, f in enumerate(files)}
         have = [c for c in ("path", "lang", "summary") if c in graph.files.columns]
+        cosine = {r["file_path"]: r["score"] for r in near.collect()} if near is not None else {}
         out.files = sorted(rows(graph.files.where(F.col("path").isin(files)).select(*have)), key=lambda r: order[r["path"]])
+        for f in out.files:
+            f["score"] = round(cosine.get(f["path"], 0.0), 4)
         if graph.symbols is not None:
             wanted = F.col("fqname").isin(symbols)
             if out.fastpath and out.fastpath[0] == "symbol":
                 wanted = wanted | (T.terminal_name(F.col("fqname")) == out.fastpath[1].rsplit(".", 1)[-1])
             order = {s: i for i, s in enumerate(symbols)}
+            place = {s: 1 / (i + 1) for i, s in enumerate(names)}
             have = [c for c in ("fqname", "file_path", "signature", "summary") if c in graph.symbols.columns]
             out.symbols = sorted(rows(graph.symbols.where(wanted).select(*have).orderBy("fqname").limit(60)), key=lambda r: (order.get(r["fqname"], len(order)), r["fqname"]))
+            for s in out.symbols:
+                s["score"] = round(place.get(s["fqname"], 0.0), 4)
 
     def neighbours() -> None:
         if graph.calls is not None and out.symbols:
@@ -164,9 +229,17 @@ def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str |
             out.related = rows(link.edges_of(graph.links, repo, 8))
 
     def services() -> None:
-        if graph.services is not None:
-            out.services = rows(graph.services.orderBy("name").limit(3))
         out.runbook = graph.runbook
+        if graph.services is None:
+            return
+        named = picked.get("services", [])
+        rank = F.when(F.col("name").isin(named), 0)
+        if graph.service_files is not None and not graph.service_files.isEmpty():
+            held = graph.service_files.where(F.col("path").isin([f["path"] for f in out.files]))
+            rank = rank.when(F.col("name").isin([r[0] for r in held.select("service").distinct().orderBy("service").limit(100).collect()]), 1)
+        else:
+            rank = rank.otherwise(1)
+        out.services = rows(graph.services.where(rank.isNotNull()).orderBy(rank, "name").limit(3))
 
     for name, run in (("fastpath", fast), ("candidates", ground), ("calls", neighbours), ("services", services), ("memory", remembered), ("links", related)):
         step(name, run)
@@ -177,3 +250,20 @@ def pack_to_budget(ranked: DataFrame, text: str, rank: str, budget: int, by: lis
     """Rows of a ranked list as long as their running length stays within ``budget`` tokens."""
     w = Window.partitionBy(*(by or [])).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("used", F.sum(F.length(text)).over(w)).where(F.col("used") <= budget * CHARS_PER_TOKEN)
+
+
+def context_for(store, repo: str, text: str, query_vec: Column | None = None, token_budget: int = 4000, **how) -> str:
+    """The rendered bundle of a question to a project of a store, or an empty text where none can be made."""
+    made = context_object(store, repo, text, query_vec, token_budget, **how)
+    return made.render() if made else ""
+
+
+def context_object(store, repo: str, text: str, query_vec: Column | None = None, token_budget: int = 4000, **how) -> Bundle | None:
+    """The same as an object, or None: an unknown project, an empty question or a store that can't be read."""
+    try:
+        graph = graph_of(store, repo)
+        if not text.strip() or graph.files.isEmpty():
+            return None
+        return query(graph, text, query_vec, repo, token_budget, **how)
+    except Exception:  # callers put the text before a prompt and go on without it
+        return None

@@ -186,3 +186,30 @@ def test_sources_helpers(spark):
     assert [tuple(r) for r in files.valid_paths(d, f).collect()] == [("s", "a/y.py")]
     w = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new")], "k string, at int, v string")
     assert [tuple(r) for r in delta.last_write(w, ["k"], [F.col("at")]).collect()] == [("k", 2, "new")]
+
+
+def test_question_from_the_store(spark, tree, tmp_path):
+    from millrace.operators import bundle, search
+
+    store = Store(spark, f"file://{tmp_path}/asked")
+    ingest.ingest(store, "r", str(tree))
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "stock.py").write_text("def shrink(n):\n    return n\n")
+    ingest.ingest(store, "q", str(other))
+    store.write("service", spark.createDataFrame([("r", "core"), ("r", "aaa"), ("q", "other")], "repo string, name string"))
+    store.write("service_file", spark.createDataFrame([("r", "core", "svc/Stock.java"), ("r", "aaa", "none.py")], "repo string, service string, path string"))
+    vec = store.read("chunk").where("repo = 'r' and file_path = 'svc/Stock.java'").select("embed_vec").first()[0]
+    vec = F.array(*map(F.lit, vec))
+    b = bundle.query(bundle.graph_of(store, "r"), "where does stock shrink", vec, "r")
+    assert not b.errors, b.errors
+    assert b.files[0]["path"] == "svc/Stock.java" and b.files[0]["score"] == 1.0
+    assert "stock.py" not in [f["path"] for f in b.files]
+    assert "svc/Stock.java::Stock::shrink" in [s["fqname"] for s in b.symbols] and b.symbols[0]["score"] == 1.0
+    assert [s["name"] for s in b.services] == ["core"]
+    found = search.fulltext_symbols(store.read("symbol").where("repo = 'r'"), ["shrink"], 5).collect()
+    assert "svc/Stock.java::Stock::shrink" in [r["fqname"] for r in found]
+    assert bundle.context_for(store, "r", "where does stock shrink", vec).startswith("# Context for")
+    assert bundle.context_for(store, "gone", "stock") == "" and bundle.context_object(store, "r", " ") is None
+    turned = bundle.query(bundle.graph_of(store, "r"), "where does stock shrink", vec, "r", scorer=lambda doc: F.when(doc == "web/tidy.ts", 1.0).otherwise(0.0))
+    assert turned.files[0]["path"] == "web/tidy.ts" or "web/tidy.ts" not in [f["path"] for f in turned.files]
