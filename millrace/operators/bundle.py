@@ -166,16 +166,12 @@ def query(graph: Graph, text: str, query_vec: Column | None = None, repo: str |
 
     picked: dict = {}
 
-    def short(df: DataFrame) -> DataFrame:
-        """At most 60 rows, kept so that the tables below are read once."""
-        return spark.createDataFrame(df.collect(), df.schema)
-
     def ground() -> None:
         named = near = None
         if graph.symbols is not None:
-            named = short(search.fulltext_symbols(graph.symbols, _terms(graph, text), 60))
+            named = search.short(search.fulltext_symbols(graph.symbols, _terms(graph, text), 60))
         if graph.chunks is not None and query_vec is not None:
-            near = short(file_scores(graph, query_vec))
+            near = search.short(file_scores(graph, query_vec))
         ranking = candidates(graph, text, query_vec, scorer=scorer, named=named, near=near)
         found = [r["doc"] for r in ranking.orderBy("rank").limit(search.CANDIDATES).collect()]
         names = []

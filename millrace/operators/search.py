@@ -119,18 +119,19 @@ def bm25(docs: DataFrame, terms: list[str], k: int, id: str = "doc_id", text: st
     Only postings of the asked terms are built: the terms are counted inside each text, so a query reads the table
     once and shuffles a row for each term, not for each word.
     """
-    base = docs.select(id, _words(text).alias("_w"))
+    # Behind an explode of one element the optimizer can't repeat the split for each use of the words.
+    base = docs.select(id, F.explode(F.array(_words(text))).alias("_w"))
     tf = [(F.size("_w") - F.size(F.array_remove("_w", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = base.select(id, F.size("_w").alias("dl"), *tf)
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
     )
-    rows = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats))
+    rows = counted.join(F.broadcast(stats))
     total = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         total = total + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.select(id, F.round(total, 6).alias("score")).orderBy(F.desc("score"), F.asc(id)).limit(k)
+    return rows.where(total > 0).select(id, F.round(total, 6).alias("score")).orderBy(F.desc("score"), F.asc(id)).limit(k)
 
 
 def fulltext_symbols(symbols: DataFrame, terms: list[str], k: int) -> DataFrame:
@@ -144,6 +145,14 @@ def fulltext_symbols(symbols: DataFrame, terms: list[str], k: int) -> DataFrame:
     return hits.select("_key.fqname", "_key.file_path", "score", "rank")
 
 
+def short(df: DataFrame, most: int = 1000) -> DataFrame:
+    """A result of a few rows, computed once for all its uses; one of more than ``most`` is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a list that ought to be short")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def ranked(df: DataFrame, id: str, list_no: int, score: str = "score") -> DataFrame:
     """A short ordered result as ``(doc, list_no, rank)`` with ranks from 1."""
     w = Window.orderBy(F.desc(score), F.asc(id))

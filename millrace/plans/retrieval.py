@@ -141,7 +141,7 @@ QUERIES["rrf_fuse"] = (rrf_fuse, f"{_RRF} SELECT doc, round(s, 6) AS score, row_
 def hybrid_retrieval(spark, sf):
     """The flagship: vector and full-text rankings fused with a prior, the best twenty hydrated."""
     docs = table(spark, sf, "documents")
-    lists = _lists(spark, sf)
+    lists = search.short(_lists(spark, sf))
     # At most 120 documents are in the lists: their rows are looked up once, for the prior and for the answer.
     listed = F.broadcast(lists.select("doc").distinct())
     prior = docs.where("lang = 'en'").select(F.col("doc_id").alias("doc")).join(listed, "doc", "left_semi").withColumn("bonus", F.lit(0.002))
