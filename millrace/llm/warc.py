@@ -144,9 +144,9 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, rol
     first = materialize(first, "warc_first")
     n = light.count()
     shards = max(1, -(-n // shard_rows))
-    # Boundaries of the ranges: quantiles of a sample of ids, chosen by their hash (at most about BOUNDARY_SAMPLE).
+    # Boundaries of the ranges: quantiles of a sample of ids, chosen by their hash; at least eight for each shard.
     ids = light.select("page_id").where("page_id is not null")
-    share = min(1.0, BOUNDARY_SAMPLE / max(n, 1))
+    share = min(1.0, max(BOUNDARY_SAMPLE, 8 * shards) / max(n, 1))
     chosen = ids.where(F.pmod(F.xxhash64(F.lit("range"), "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()
     sample = np.sort(chosen["page_id"].to_numpy(np.int64))
     cuts = np.unique(sample[np.linspace(0, len(sample), shards + 1)[1:-1].astype(int)]) if len(sample) and shards > 1 else np.zeros(0, np.int64)
@@ -168,20 +168,21 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, rol
     dealt = joined.repartitionById(len(cuts) + 1, F.col("shard")) if hasattr(joined, "repartitionById") else joined.repartition(len(cuts) + 1, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", F.md5("html"))
 
+    # As text from here: beside a null pandas would hold a long as a floating point number.
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "to")})
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = None
         for batch in batches:
-            ids = batch["page_id"].astype("Int64")
-            refs = batch["to"].astype("Int64")
             done: list[tuple] = []
-            for shard, page, url, html, to, to_url in zip(batch["shard"], ids, batch["url"], batch["html"], refs, batch["to_url"]):
+            for shard, page, url, html, to, to_url in zip(batch["shard"], batch["page_id"], batch["url"], batch["html"], batch["to"], batch["to_url"]):
                 if now is None or now.shard != shard:
                     if now is not None:
                         now.close()
                         done += now.done
                     now = _Roll(folder, int(shard), roll)
-                name = "" if page is pd.NA else str(page)
-                data = record(name, url, html.encode("utf-8", "surrogatepass"), None if to is pd.NA else str(to), to_url)
+                name = page or ""
+                data = record(name, url, html.encode("utf-8", "surrogatepass"), to, to_url)
                 now.add(name, _member(data))
             if done:
                 yield pd.DataFrame(done, columns=[x.split()[0] for x in MANIFEST.split(", ")])
@@ -257,23 +258,18 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                             raise ValueError(f"{name}: a payload differs from its digest")
                         key, to = fields["Millrace-Key"], fields.get("Millrace-Refers-To-Key")
                         html = payload.decode("utf-8", "surrogatepass") if kind == "response" else None
-                        rows.append((int(key) if key else None, fields["WARC-Target-URI"], size, digest, kind, int(to) if to else None, html, name))
+                        rows.append((key or None, fields["WARC-Target-URI"], size, digest, kind, to or None, html, name))
                         held += len(payload)
                         if held > 4 << 20:
-                            yield _frame(rows, columns)
+                            yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
                 if n != records:
                     raise ValueError(f"{name}: {n} records of {records}")
-                yield _frame(rows, columns)
-
-    return listed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").mapInPandas(
-        read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string, file string"
-    )
-
+                yield pd.DataFrame(rows, columns=columns)
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    dealt = listed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+    out = dealt.mapInPandas(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, html string, file string")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive_folder(spark: SparkSession) -> str:

@@ -59,3 +59,14 @@ def test_empty_and_damaged(spark, tmp_path):
     file.write_bytes(data)
     with pytest.raises(Exception, match="differs from its digest"):
         warc.read_archive(spark, f"file://{tmp_path}/d").collect()
+
+
+def test_large_ids_beside_null(spark, tmp_path):
+    rows = [(2**60 + 1, "u1", "same"), (2**60 + 2, "u2", "same"), (None, "u3", "same"), (2**60 + 3, "u4", None), (None, "u5", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, f"file://{tmp_path}/large")
+    got = {r["url"]: (r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, f"file://{tmp_path}/large").collect()}
+    assert got == {
+        "u1": (2**60 + 1, "response", None), "u2": (2**60 + 2, "revisit", 2**60 + 1), "u3": (None, "revisit", 2**60 + 1),
+        "u4": (2**60 + 3, "response", None), "u5": (None, "response", None),
+    }
