@@ -77,6 +77,56 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def quality_rules_sql() -> str:
+    """Operator 4 for a SQL engine with lists: windows of words are compared as texts, lines by the same patterns."""
+    q = {k: "'" + v.replace("'", "''") + "'" for k, v in (
+        ("word", quality_rules.WORD), ("blank", quality_rules.BLANK), ("symbols", quality_rules.SYMBOLS), ("ends", quality_rules.ENDS),
+        ("navigation", quality_rules.NAVIGATION), ("boilerplate", quality_rules.BOILERPLATE),
+    )}
+    return f"""
+        WITH body AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+        ), split AS (
+            SELECT r, doc_id, text, regexp_extract_all(text, {q["word"]}) AS words,
+                [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, {q["word"]})] AS lines
+            FROM body
+        ), placed AS (
+            SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM split
+        ), windows AS (
+            SELECT r, i, concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS five,
+                lead(i, 4) OVER w AS last
+            FROM placed WINDOW w AS (PARTITION BY r ORDER BY i)
+        ), twice AS (
+            SELECT r, i, count(*) OVER (PARTITION BY r, five) AS times FROM windows WHERE last IS NOT NULL
+        ), repeats AS (
+            SELECT r, count(DISTINCT i + k) AS n_repeat_words
+            FROM twice, (SELECT unnest(range(5)) AS k) WHERE times > 1 GROUP BY r
+        ), lines AS (
+            SELECT r, line, length(line) AS n, len(regexp_extract_all(line, {q["symbols"]})) AS symbols, len(regexp_extract_all(line, {q["word"]})) AS words,
+                len(regexp_extract_all(line, '\\p{{L}}')) AS letters, len(regexp_extract_all(line, '\\p{{Lu}}')) AS upper
+            FROM (SELECT r, unnest(lines) AS line FROM split)
+        ), good AS (
+            SELECT r, sum(length(regexp_replace(line, {q["blank"]}, '', 'g'))) AS word_chars
+            FROM lines
+            WHERE NOT (words < 3 AND NOT regexp_matches(line, {q["ends"]})) AND symbols * 10 <= n AND NOT (upper * 2 > letters AND letters >= 20)
+                AND NOT regexp_matches(line, {q["navigation"]}) AND NOT regexp_matches(line, {q["boilerplate"]})
+            GROUP BY r
+        ), counts AS (
+            SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                CAST(coalesce(list_sum([length(x) FOR x IN words]), 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(text, {q["symbols"]})) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+            FROM split LEFT JOIN repeats USING (r)
+        ), judged AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+        )
+        SELECT doc_id, n_words, judged.word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND 2 * coalesce(good.word_chars, 0) >= judged.word_chars AS kept
+        FROM judged LEFT JOIN good USING (r)
+    """
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -94,4 +144,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Operator 4 in SQL; the others rest on hashes, models, checksums, archives or a tokenizer."""
+    return {"op4_quality_rules": quality_rules_sql()}

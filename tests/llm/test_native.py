@@ -139,3 +139,21 @@ def test_lines_are_judged_first(spark):
     got = {r["doc_id"]: r for r in quality_rules.rate(frame(spark, rows), max_repeat=100).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == clean
     assert got[2]["clean_text"] == clean and not got[3]["kept"]
+
+
+def test_quality_rules_sql(spark, tmp_path):
+    """The registered query and its SQL give the same rows on whole tables with nulls, repeats and very long texts."""
+    duckdb = pytest.importorskip("duckdb")
+    from millrace.llm import queries
+
+    lines = "Home | News | Shop | Cart\nShort stub\nThis line is a sentence, and it ends.\nTHIS IS SHOUTING ALL OF THE WAY THROUGH\nAll rights reserved by us\n#$% &|<> **\n"
+    odd = [(9001, lines * 3, "en", "a", 1), (9002, "one two three four five six " * 4000, "en", "a", 1), (9002, "é ü　ß \t x\r\n" * 9, None, None, 1), (None, "a b c d e f g h i j.\n\n a", "en", "a", 1)]
+    frame(spark, documents() + odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op4_quality_rules"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(queries.oracle_sql()["op4_quality_rules"])
+        at = [want.columns.index(x) for x in got.columns]
+        want = [tuple(r[k] for k in at) for r in want.fetchall()]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r[-1] for r in want} == {True, False}
