@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 from .components import connected_components
 
-#: Texts whose shingles are counted to tell common shingles from rare ones, the least count there of a common one, and
-#: how many common ones are kept.
-COUNTED, COMMON, MOST_COMMON = 16384, 3, 1 << 17
+#: The least number of texts of a common shingle, and how many common ones are kept.
+COMMON, MOST_COMMON = 3, 1 << 17
+#: Buckets for each text, and the most, in which all shingles are counted first; buckets that are passed on together.
+BUCKETS_A_TEXT, MOST_BUCKETS, CHUNK = 4, 1 << 22, 4096
+#: The fullest buckets, as a share, whose shingles are counted one by one.
+FULL = 1 / 32
 #: Texts of one list that one task gathers: longer lists are dealt out by a hash of the text.
 LIST_ROWS = 4096
 #: Buckets of shingles whose counts bound how many shingles two texts can share.
@@ -56,35 +59,83 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(x, 7) for x in map(join, zip(*(words[j:] for j in range(width))))], dtype=np.uint64)).view(np.int64)
 
 
-def _common_shingles(docs: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of common shingles in order, how often they occur in a sample of about ``COUNTED`` texts, and how many
-    texts stand for one of the sample."""
-    n = docs.count()
-    if n > COUNTED:
-        docs = docs.where(F.pmod(F.xxhash64(F.lit("count"), "doc_id"), F.lit(1 << 30)) < int(COUNTED / n * (1 << 30)))
+def _hashes(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[np.ndarray]:
+    """The sets of shingles of the texts in the first column, some texts at a time, copies within a task once."""
+    seen: set[int] = set()
+    for batch in slices(batches, 256):
+        sets = []
+        for body in batch.column(0).to_pylist():
+            words = words_of(body)
+            v = word_key(words)
+            if words and v not in seen:
+                seen.add(v)
+                sets.append(shingle_set(words, shingle))
+        if sets:
+            yield np.concatenate(sets)
+
+
+def _bucket_counts(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
+    """How many shingles of all texts lie in each of some buckets, a power of two that grows with the texts."""
+    buckets = max(CHUNK, min(MOST_BUCKETS, 1 << (BUCKETS_A_TEXT * docs.count()).bit_length()))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(buckets, dtype=np.uint32)
+        for hashes in _hashes(batches, shingle):
+            np.add.at(table, hashes & (buckets - 1), 1)
+        for at, part in enumerate(table.reshape(-1, CHUNK)):
+            if (most := part.max()) > 0:
+                part = part.astype(np.uint8) if most < 256 else part
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums.setdefault(at, np.zeros(CHUNK, dtype=np.int64))
+                sums[at] += np.frombuffer(counts, dtype=np.uint8 if len(counts) == CHUNK else np.uint32)
+        for at, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["at", "counts"])
+
+    kind = "at int, counts binary"
+    found = docs.select(text).mapInArrow(counted, kind).repartition("at").mapInArrow(summed, kind).toArrow()
+    table = np.zeros((buckets // CHUNK, CHUNK), dtype=np.int64)
+    for at, counts in zip(found["at"].to_pylist(), found["counts"].to_pylist()):
+        table[at] = np.frombuffer(counts, dtype=np.int64)
+    return table.reshape(-1)
+
+
+def _common_shingles(docs: DataFrame, shingle: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles in order, and how many of all texts have each (copies in several tasks once in each).
+
+    All shingles are counted in buckets first. A shingle of many texts makes its bucket a full one, so the shingles of
+    the full buckets are then counted one by one: no shingle left out has as many texts as the least full bucket has
+    shingles, or more than any that is kept.
+    """
+    table = _bucket_counts(docs, shingle, text)
+    least = max(COMMON, int(np.quantile(table, 1 - FULL, method="higher")) + 1)
+    full = docs.sparkSession.sparkContext.broadcast(table >= least)
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            sets = [shingle_set(words_of(x), shingle) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
+        for hashes in _hashes(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[full.value[hashes & (len(full.value) - 1)]])], ["h"])
 
     counts = docs.select(text).mapInArrow(exploded, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow().sort_by("h")
-    return top["h"].to_numpy(), top["n"].to_numpy(), max(1.0, n / COUNTED)
+    return top["h"].to_numpy(), top["n"].to_numpy()
 
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, float], shingle: int, similarity: float, text: str) -> DataFrame:
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float, text: str) -> DataFrame:
     """``(h, salt, v, size, at)``: the rarest shingles of each text, as many as two similar texts must share one of.
 
     Of two sets with a Jaccard similarity ``t``, each of the size ``n`` shares ``ceil(t n)`` or more, so one shared is
     among its first ``n - ceil(t n) + 1``, and the first one shared is in that prefix of both. ``salt`` deals out lists
-    that the sample shows to be long (else it is -1). Copies within a task give their rows once.
+    that the counts show to be long (else it is -1). Copies within a task give their rows once.
     """
     table = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts, scale = table.value
-        salts = np.ceil(counts * (scale / LIST_ROWS)).astype(np.int64)
+        common, counts = table.value
+        salts = -(-counts // LIST_ROWS)
         seen: set[int] = set()
         for batch in slices(batches, 512):
             out, keys = [], []

@@ -214,3 +214,34 @@ def test_stage_compares_each_text_of_a_fingerprint(spark):
     lost = [k for k in triples if got[k + 1] != got[k + 2]]
     assert not lost, f"{len(lost)} of {len(triples)} links"
     assert all(got[k] == k and got[k + 1] == k + 1 for k in triples)
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    """Passages of 10,000 and of 40 of 20,000 texts: the counts that order shingles and deal out lists are no sample's."""
+    passage, rare = [f"p{k}" for k in range(7)], [f"r{k}" for k in range(6)]
+    texts = [" ".join([f"u{k}-{j}" for j in range(5)] + (passage if k % 2 else []) + (rare if k % 500 == 0 else [])) for k in range(20_000)]
+    wanted = {}
+    for text in texts:
+        for h in shingle_links.shingle_set(shingle_links.words_of(text), 5).tolist():
+            wanted[h] = wanted.get(h, 0) + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes, counts, *_ = shingle_links._common_shingles(docs, 5, "text")
+    got = dict(zip(hashes.tolist(), counts.tolist()))
+    assert got == {h: wanted[h] for h in got}
+    assert hashes.tolist() == sorted(got)
+    assert sorted(n for n in got.values() if n >= 40) == [40, 40, 10_000, 10_000, 10_000]
+
+
+def test_bucket_counts_hold_every_shingle(spark, monkeypatch):
+    """More than 255 in a bucket, texts in several tasks, and copies within a task, which count once."""
+    monkeypatch.setattr(shingle_links, "MOST_BUCKETS", 4096)
+    monkeypatch.setattr(shingle_links, "CHUNK", 1024)
+    texts = [f"same five words each time u{k} v{k}" for k in range(3000)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    wanted = np.zeros(4096, dtype=np.int64)
+    for text in texts:
+        np.add.at(wanted, shingle_links.shingle_set(shingle_links.words_of(text), 5) & 4095, 1)
+    assert wanted.max() >= 3000
+    assert (shingle_links._bucket_counts(docs.repartition(5), 5, "text") == wanted).all()
+    assert (shingle_links._bucket_counts(docs.unionByName(docs).coalesce(1), 5, "text") == wanted).all()
+    assert not shingle_links._bucket_counts(docs.limit(0), 5, "text").any()
