@@ -14,6 +14,8 @@ from ..functions import vector as V
 
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 5_000
+#: Ids of a hop that the driver holds.
+HELD = 100_000
 RRF_K, HEAD, CANDIDATES, EXPAND_FROM, NEIGHBOURS = 60, 30, 40, 5, 20
 
 
@@ -186,21 +188,37 @@ def rerank(ranking: DataFrame, scorer: Callable[[Column], Column] | None, head:
 
 def one_hop(edges: DataFrame, seeds: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
     """Neighbours of ``seeds(id)`` over ``edges(src, dst)`` in both directions, distinct, the first ``most`` by id."""
-    outs = edges.join(seeds.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
-    ins = edges.join(seeds.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
-    return outs.unionByName(ins).distinct().orderBy("id").limit(most)
+    return _neighbours(edges, seeds).distinct().orderBy("id").limit(most)
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """``(id, hop)``: the fewest hops (both directions) from the seeds, seeds themselves at 0."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
+    """``(id, hop)``: the fewest hops (both directions) from the seeds, seeds themselves at 0.
+
+    Edges may repeat: they are cut to those at the last hop's ids before anything else, and only neighbours are made
+    distinct. A hop of at most ``HELD`` ids is computed once and held by the driver; a larger one stays a plan.
+    """
+    last = _held(seeds.select("id").distinct())
+    seen = last.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
-        near = both.join(seen.where(F.col("hop") == hop - 1).withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        seen = seen.unionByName(near.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        last = _neighbours(edges, last).distinct().join(seen.select("id"), "id", "left_anti")
+        last = _held(last) if hop < hops else last
+        seen = seen.unionByName(last.withColumn("hop", F.lit(hop)))
     return seen
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """The same rows, computed if they are few."""
+    rows = ids.limit(HELD + 1).toArrow()
+    return ids if rows.num_rows > HELD else ids.sparkSession.createDataFrame(rows, ids.schema)
+
+
+def _neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The other ends of all edges at ``ids(id)``, with repeats."""
+    outs = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+    ins = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+    return outs.unionByName(ins)
+
+
 def append_unseen(first: DataFrame, more: DataFrame, most: int) -> DataFrame:
     """``(doc, rank)`` lists in turn, each document at its first place, at most ``most`` of them."""
     both = first.select("doc", F.lit(0).alias("_part"), "rank").unionByName(more.select("doc", F.lit(1).alias("_part"), "rank"))

@@ -183,7 +183,7 @@ QUERIES["path_prior"] = (path_prior, "SELECT p_partkey, round(0.04::DOUBLE + CAS
 def _trade(spark, sf):
     return (
         table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst")).distinct()
+        .select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"))
     )
 
 

@@ -51,6 +51,15 @@ def test_hops(spark):
     assert rows(search.k_hop(edges, seeds, 2)) == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
 
 
+@pytest.mark.parametrize("held", [0, 100])
+def test_hops_make_no_set_of_all_edges(spark, monkeypatch, held):
+    monkeypatch.setattr(search, "HELD", held, raising=False)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), ("c", "d"), ("d", "e"), ("b", None)], "src string, dst string")
+    hops = search.k_hop(edges.unionByName(edges), spark.createDataFrame([("a",), ("a",)], "id string"), 3)
+    assert sorted(map(tuple, hops.where("id is not null").collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert "Aggregate [src" not in hops._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vector_topk_filters_before_or_after(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "x"), (3, [0.0, 1.0], "y"), (4, None, "y")], "vec_id int, embedding array<double>, repo string")
     q = F.array(F.lit(1.0), F.lit(0.0))
