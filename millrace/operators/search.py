@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions import vector as V
 
 #: Query vectors that are broadcast at once.
 QUERY_BLOCK = 5_000
+#: Numbers of a product that a task holds at once.
+CELLS = 1 << 19
 #: Ids of a hop that the driver holds.
 HELD = 100_000
 RRF_K, HEAD, CANDIDATES, EXPAND_FROM, NEIGHBOURS = 60, 30, 40, 5, 20
@@ -47,9 +50,9 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, id: str =
     """Top k for each row of ``queries(query_id, query_vec)``: ``(query_id, id, score, rank)``, ties by id.
 
     ``within`` names a column that must be equal on both sides. Queries go to the tasks in blocks of about
-    ``QUERY_BLOCK``; a task multiplies a batch of vectors with a block and passes on each query's best k of the batch,
-    so that a query shuffles at most k rows of each. Vectors that are null, zero, of another length or not finite have
-    no score.
+    ``QUERY_BLOCK``; a task multiplies some vectors with some of a block, about ``CELLS`` products at once, and passes on
+    each query's best k of them, no more in ties, so that its memory depends on neither table. Vectors that are null,
+    zero, of another length or not finite have no score.
     """
     q = queries.select("query_id", "query_vec", *([F.col(within).alias("_q")] if within else []))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
@@ -78,27 +81,50 @@ def _best_of(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         lengths = np.array([n or 0 for n in given.value_lengths().to_pylist()])
         widths = [(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths[lengths > 0]).tolist()]
         units = {n: _units(given.take(pa.array(at)), n) for n, at in widths}
+        step = max(1000, CELLS // max((n for n, _ in widths), default=1))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, step):
+                some = batch.slice(start, step)
+                some = some.take(pc.array_sort_indices(some.column(0), null_placement="at_start"))  # so the first of a tie is the one to keep
                 mine = some.column(2).to_pylist() if label is not None else None
                 for width, at in widths:
-                    score = np.round(_units(some.column(1), width) @ units[width].T, 6)
-                    score[np.isnan(score)] = -np.inf
-                    if label is not None:
-                        code = {x: c for c, x in enumerate({*mine, *(label[j] for j in at)} - {None})}
-                        rows, cols = np.array([code.get(x, -1) for x in mine]), np.array([code.get(label[j], -2) for j in at])
-                        score[rows[:, None] != cols[None, :]] = -np.inf
-                    if len(score) > k:
-                        least = np.partition(score, len(score) - k, axis=0)[len(score) - k]
-                        i, j = np.nonzero((score >= least) & (score > -np.inf))  # ties with the last one stay
-                    else:
-                        i, j = np.nonzero(score > -np.inf)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[j])), some.column(0).take(pa.array(i)), pa.array(score[i, j])], names=["query_id", some.schema.names[0], "score"])
+                    given = _units(some.column(1), width)
+                    for rows, cols in [(np.arange(len(given)), at)] if label is None else _alike(mine, label, at):
+                        tile = max(1, CELLS // len(rows))
+                        for c in range(0, len(cols), tile):
+                            j, i, score = _largest(units[width][np.searchsorted(at, cols[c : c + tile])] @ given[rows].T, k)
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[c + j])), some.column(0).take(pa.array(rows[i])), pa.array(score)], names=["query_id", some.schema.names[0], "score"])
 
     return best
 
 
+def _alike(mine: list, label: list, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``mine``, and those of ``at``, of each label that both sides have; null is like nothing."""
+    places = [{}, {}]
+    for group, of in zip(places, (enumerate(mine), ((j, label[j]) for j in at.tolist())), strict=True):
+        for place, value in of:
+            if value is not None:
+                group.setdefault(value, []).append(place)
+    yield from ((np.array(rows), np.array(places[1][value])) for value, rows in places[0].items() if value in places[1])
+
+
+def _largest(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the ``k`` largest numbers of each row, rounded; the first columns of a tie."""
+    score = np.round(score, 6)
+    score[np.isnan(score)] = -np.inf
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+        keep = score >= least
+        many = np.flatnonzero(keep.sum(axis=1) > k)
+        if len(many):
+            above, tied = score[many] > least[many], score[many] == least[many]
+            keep[many] = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        keep = np.ones(score.shape, dtype=bool)
+    j, i = np.nonzero(keep & (score > -np.inf))
+    return j, i, score[j, i]
+
+
 def best_per_file(hits: DataFrame, file: str, score: str = "score", rank: str = "rank") -> DataFrame:
     """Files in order of their best hit, with that hit's score."""
     return hits.groupBy(file).agg(F.max(score).alias("score"), F.min(rank).alias("rank"))

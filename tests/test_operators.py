@@ -44,6 +44,33 @@ def test_rerank_moves_only_the_head(spark):
     assert search.rerank(ranking, None) is ranking
 
 
+@pytest.mark.parametrize("label", [None, 3])
+def test_batches_of_vectors_hold_few_products_and_pass_on_k_of_a_tie(label):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    def table(name, vectors):
+        columns = {name: np.arange(len(vectors))[::-1], "v": pa.array(vectors.tolist(), pa.list_(pa.float32()))}
+        return pa.table(columns | ({"_q": [label] * len(vectors)} if label else {}))
+
+    x = np.ones((4000, 8))
+    x[::2, 0] = 2  # two groups of equal vectors
+    asked = table("query_id", x).select(["query_id", "v", *(["_q"] if label else [])]).rename_columns(["query_id", "query_vec", *(["_q"] if label else [])])
+    batch = table("vec_id", x[:1000]).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    got, most = [], 0
+    for out in search._best_of(SimpleNamespace(value=asked), 3)(iter([batch])):
+        got.append((out.num_rows, out.slice(0, 6).to_pydict()))
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert sum(n for n, _ in got) == 3 * 4000
+    assert most < 40e6
+    assert got[0][1]["vec_id"] == [1, 3, 5, 0, 2, 4] and got[0][1]["score"] == [1.0] * 6
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "id string")
